@@ -84,4 +84,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT ({" OR ".join(f"({r.rejects})" for r in RULES)}) AS kept FROM f
 """
 
-ORACLES = {"op1_mixing": OP1, "op5_line_dedup": OP5, "op7_licenses": _op7(), "op8_quality_rules": OP8}
+#: For conversations without tool calls, which these tables hold: turns in order, as canonical JSON.
+OP6 = """
+WITH m AS (SELECT conv_id, turn, role, text, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS j FROM conversations),
+c AS (SELECT conv_id, count(*) AS n_messages, '{"messages":[' || string_agg(j, ',' ORDER BY turn, role, text) || ']}' AS j FROM m GROUP BY conv_id)
+SELECT conv_id, n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_orphans, CAST(0 AS BIGINT) AS n_invalid,
+       length(j) AS json_chars, md5(j) AS json_md5 FROM c
+"""
+
+ORACLES = {"op6_chat": OP6, "op1_mixing": OP1, "op5_line_dedup": OP5, "op7_licenses": _op7(), "op8_quality_rules": OP8}

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_join, line_windows, mixing, packing, quality_mil, rule_cascade, simhash
+from . import chat_tools, html_consensus, license_join, line_windows, mixing, packing, prefix_forest, quality_mil, rule_cascade, simhash
 from .common import table
 from .oracles import ORACLES
 
+#: JSON schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,6 +33,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_consensus.extract(table(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines removed, the first of them, and the length and md5 of the text that stays."""
     out = line_windows.dedup_lines(table(spark, sf_dir, "documents"))
@@ -38,6 +49,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: counts of messages and calls, and length and md5 of its canonical JSON."""
+    out = chat_tools.linked(table(spark, sf_dir, "conversations"), TOOLS)
+    return out.select("conv_id", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", F.length("json").cast("long").alias("json_chars"), F.md5("json").alias("json_md5"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
@@ -47,9 +64,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_quality, op5_line_dedup, op7_licenses, op8_quality_rules, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_quality, op4_html, op5_line_dedup, op6_chat, op7_licenses, op8_quality_rules, op9_neighbours, op10_packing)}
 ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
