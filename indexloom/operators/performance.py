@@ -92,7 +92,8 @@ def rolling_risk(df: DataFrame, index: str, benchmark: str, by: Sequence[str] =
         values = {"annualized_volatility": F.stddev_samp(index).over(w) * math.sqrt(year), "tracking_error": F.stddev_samp(active).over(w) * math.sqrt(year), "correlation": F.corr(index, benchmark).over(w)}
         full = F.count("*").over(w) >= need
         structs.append(F.struct(F.lit(n).alias("window"), *[F.when(full, v).alias(k) for k, v in values.items()]))
-    out = both.select(*by, "business_date", F.explode(F.array(*structs)).alias("r")).select(*by, "business_date", "r.*")
+    out = both.select(*by, "business_date", F.array(*structs).alias("r"))  # windows first, then their rows
+    out = out.select(*by, "business_date", F.explode("r").alias("r")).select(*by, "business_date", "r.*")
     return out.where("annualized_volatility IS NOT NULL")
 
 

@@ -18,7 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "review_metrics"
 
 
-def query(*needs: str, sql: str | None = None, dates: bool = True) -> Callable[[Query], Query]:
+def query(*needs: str, sql: str | None = None, dates: bool | str = True) -> Callable[[Query], Query]:
     """Register a query by its function's name; ``sql`` goes on from the views it ``needs``. Dates are given as text."""
 
     def add(f: Query) -> Query:

@@ -40,11 +40,11 @@ _NEEDS = {
 }
 
 
-def over(*views: str, then: str, dates: bool = True) -> str:
+def over(*views: str, then: str, dates: bool | str = True) -> str:
     """SQL that defines ``views`` and goes on with ``then``: further ``name AS (...)`` and the final SELECT.
 
     ``dates``: columns named ``*_date`` come out as text, as registered
-    queries give them.
+    queries give them; ``"all"``: every column is one.
     """
     parts: list[str] = []
     for v in views:
@@ -52,4 +52,6 @@ def over(*views: str, then: str, dates: bool = True) -> str:
     then = then.strip()
     if parts:
         then = "WITH " + ",".join(parts) + (f", {then[5:]}" if then.startswith("WITH ") else f" {then}")
-    return f"SELECT COLUMNS(lambda c: NOT c LIKE '%\\_date' ESCAPE '\\'), CAST(COLUMNS('_date$') AS VARCHAR) FROM ({then})" if dates else then
+    if dates == "all":
+        return f"SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({then})"
+    return f"SELECT COLUMNS(lambda c: NOT suffix(c, '_date')), CAST(COLUMNS('_date$') AS VARCHAR) FROM ({then})" if dates else then
