@@ -123,12 +123,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     come back; other columns are not read; an empty table gives none.
     """
     rows = written(fingerprints(docs, id_col, text_col, width), "fps")
+    return rows.join(_named(rows, distance, paired), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(rows: DataFrame, distance: int, paired: int) -> DataFrame:
+    """``(fp, component_id)``, a row each; written, so that what joins it by fp meets two plain shuffles and AQE can split hot ones."""
     first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(first.select("fp"), distance, paired)).withColumnRenamed("node", "fp")
     least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
     of_linked = roots.join(least, "root").select("fp", "least")
-    named = first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return written(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 3) -> DataFrame:
@@ -136,7 +140,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with null ids stay only if no other row of their group has an id.
     """
-    groups = simhash_groups(docs, id_col, text_col, width, distance)
+    groups = _named(written(fingerprints(docs, id_col, text_col, width), "fps"), distance, PAIRED)
     kept = groups.select(F.col("component_id").alias("__kept")).distinct()
     rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
     return rows.dropDuplicates([id_col])
