@@ -132,7 +132,7 @@ def _open(page: Page, stack: list[int], tag: str, a: dict[str, str]) -> None:
     above = page.elements[stack[-1]]
     names = f"{a.get('class', '')} {a.get('id', '')}".lower()
     classes = sorted({_DIGITS.sub("#", c) for c in a.get("class", "").lower().split()})
-    step = ".".join([tag, *classes])
+    step = tag if tag in ("html", "body") else ".".join([tag, *classes])  # a page's own classes stand on its body
     e = Element(tag, names, stack[-1], f"{above.path}>{step}" if tag not in ("html", "body") else step)
     words = set(_WORDS.findall(names))
     own = tag in OUTSIDE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
