@@ -48,8 +48,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Of each whole text (null: empty). n_repeat_words: words in windows of 8
     words that the text has twice or more. Windows are first compared by hash;
-    only a text with equal hashes has its windows compared as strings.
-    Columns of these names are replaced; other columns stay.
+    only a text with equal hashes has its windows compared as strings. Write
+    the result before filtering by it: Spark would copy these expressions into
+    the filter, and what it infers from one. Columns of these names are replaced; other columns stay.
     """
     n, words, lines = F.size("__words"), F.col("__words"), F.col("__lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -76,8 +77,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("__at", F.sort_array(F.transform(twin, lambda x: x["i"])))
     spans = F.zip_with("__at", _from("__at", 1), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     total = F.aggregate(spans, F.lit(0), lambda a, x: a + x)
-    # rand() >= 0 always holds; as rand() is not deterministic, no filter above is rewritten into copies of all this
-    d = d.withColumn("n_repeat_words", F.when(F.rand(0) >= 0, F.coalesce(total, F.lit(0)).cast("long")))
+    d = d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long"))
     return d.drop("__text", "__words", "__lines", "__h", "__w", "__at")
 
 
@@ -105,19 +105,23 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
 
 
 def survivors(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that no rule rejects: filter after filter in cascade order, each measuring only what is left."""
-    columns = docs.columns
+    """Rows of ``docs`` that no rule rejects: rule after rule in cascade order, each measuring only what is left.
+
+    A rejected row's text is null for the rules after it, so it costs them nothing.
+    """
+    d = docs.select(F.struct("*").alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.lit(True).alias("__alive"))
     for rule in ordered(docs, rules, text_col):
-        held = docs.select(F.struct("*").alias("__doc"), F.col(text_col).alias("__t"))
-        docs = measured(held, "__t").where(~_rejects(rule)).select("__doc.*")
-    return docs.select(columns)
+        d = measured(d, "__t").withColumn("__alive", F.col("__alive") & ~_rejects(rule))
+        d = d.select("__doc", "__alive", F.when(F.col("__alive"), F.col("__t")).alias("__t"))
+    return written(d.select("__doc", "__alive"), "survivors").where("__alive").select("__doc.*")
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text_col: str = "text") -> DataFrame:
-    """``measured`` rows with base_failed (some rule of ``base`` rejects) and kept (no rule of ``rules`` does).
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the measures of each text, base_failed (some rule of ``base`` rejects) and kept (no rule of ``rules`` does).
 
-    Null and empty texts have no words and fail; repeated rows each get a
-    verdict; an empty table gives none.
+    A written table, texts apart. Null and empty texts have no words and
+    fail; repeated rows each get a verdict; other columns are not read; an
+    empty table gives none.
     """
     chain = F.lit(True)
     for rule in reversed(ordered(docs, rules, text_col)):
@@ -125,4 +129,5 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, .
     failed = F.lit(False)
     for rule in base:
         failed = failed | _rejects(rule)
-    return measured(docs, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & chain)
+    d = measured(docs.select(*keep, F.col(text_col).alias("__text0")), "__text0").drop("__text0")
+    return written(d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & chain), "verdicts")
