@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indexloom.llm import line_windows, mixing, packing, quality_mil, simhash
+from indexloom.llm import line_windows, mixing, packing, quality_mil, simhash_wide
 from indexloom.llm.common import table, written
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.one_of_each(docs)
+    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    return simhash_wide.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

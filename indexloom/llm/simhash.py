@@ -133,14 +133,3 @@ def _named(rows: DataFrame, distance: int, paired: int) -> DataFrame:
     least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
     of_linked = roots.join(least, "root").select("fp", "least")
     return written(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest id, of repeats of it the smallest text.
-
-    Rows with null ids stay only if no other row of their group has an id.
-    """
-    groups = _named(written(fingerprints(docs, id_col, text_col, width), "fps"), distance, PAIRED)
-    kept = groups.select(F.col("component_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([id_col])

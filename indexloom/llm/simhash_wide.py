@@ -1,0 +1,193 @@
+"""Near-duplicate groups by similarity: wide SimHash fingerprints on a pigeonring.
+
+A fingerprint has 1,020 bits, a ring of 102 segments. Two texts whose shingle
+vectors meet at an angle differ in that part of the bits, within about one
+hundredth, so a similarity is a number of bits, give or take a margin; pairs
+within the margin are decided by their shingle sets. Texts meet if two consecutive
+segments of theirs are equal somewhere on the ring; then some start must have
+chains whose cumulative differences stay within proportional budgets, the last
+of which is the full Hamming check.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .common import small, written
+from .components import components
+from .simhash_kernel import shingle_hashes
+
+SEGMENTS, BITS = 102, 10
+WORDS = 16
+#: Bits by which near texts may differ within the first 64, over four deviations above what a similarity of 0.8 gives.
+FIRST = 22
+#: Texts under one key beyond which each meets two others of its bucket, not all.
+PAIRED = 64
+_STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+#: Bits by which a pair's distance may lie off what its similarity gives: over two deviations.
+MARGIN = 28
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits that two texts of this Jaccard similarity differ in, on average: their cosine's angle."""
+    return round(SEGMENTS * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """``(n, WORDS)``: each hash as so many independent ones (the finaliser of SplitMix64)."""
+    x = h[:, None] + _STEPS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """128 bytes; a bit is 1 if it is set in over half the shingles' hashes; zeros for a text without words."""
+    votes, total = np.zeros(64 * WORDS, np.int64), 0
+    for block in shingle_hashes(text, width):
+        for at in range(0, len(block), 4096):
+            h = block[at : at + 4096]
+            bits = np.unpackbits(_mixed(h).view(np.uint8), axis=1)
+            for k in range(0, len(bits), 255):
+                votes += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+            total += len(h)
+    return np.packbits(2 * votes > total).tobytes() if total else bytes(8 * WORDS)
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(doc_id, node, fp)``: node names a fingerprint."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
+            nodes = np.array([xxh64_intdigest(f) for f in fps], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(of, "doc_id long, node long, fp binary")
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """``(key, node, w)`` for each two consecutive segments of each fingerprint, w its first 64 bits."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = (1 << np.arange(BITS)[::-1]).astype(np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            segments = np.unpackbits(raw, axis=1)[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS) @ scale
+            keys = (np.arange(SEGMENTS) << 2 * BITS) | (segments << BITS) | np.roll(segments, -1, axis=1)
+            first = raw[:, :8].copy().view(np.int64)[:, 0]
+            node = batch.column(0).to_numpy()
+            yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(node, SEGMENTS)), pa.array(np.repeat(first, SEGMENTS))], ["key", "node", "w"])
+
+    return nodes.select("node", "fp").mapInArrow(of, "key long, node long, w long")
+
+
+def _near(pairs: DataFrame, most: int) -> DataFrame:
+    """Those of ``pairs (a, b, fa, fb)`` that pass the chains of the ring, all of it being the last, with their distance ``d``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        budget = np.arange(1, SEGMENTS + 1) * most / SEGMENTS
+        for batch in batches:
+            keep, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
+            for at in range(0, batch.num_rows, 512):
+                a, b = (np.frombuffer(b"".join(batch.column(c).slice(at, 512).to_pylist()), np.uint8).reshape(-1, 8 * WORDS) for c in (2, 3))
+                apart = np.unpackbits(a ^ b, axis=1)[:, : SEGMENTS * BITS].reshape(-1, SEGMENTS, BITS).sum(2)
+                sums = np.concatenate([np.zeros((len(a), 1), np.int64), np.cumsum(np.concatenate([apart, apart], 1), axis=1)], 1)
+                open_ = np.ones((len(a), SEGMENTS), bool)
+                for n in range(1, SEGMENTS + 1):
+                    open_ &= sums[:, n : n + SEGMENTS] - sums[:, :SEGMENTS] <= budget[n - 1]
+                    if not open_.any():
+                        break
+                keep[at : at + 512], far[at : at + 512] = open_.any(1), apart.sum(1)
+            yield pa.record_batch([*batch.columns[:2], pa.array(far)], ["a", "b", "d"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(of, "a long, b long, d long")
+
+
+def _decided(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose shingle sets are that similar; ``docs (node, text)`` has a text of each node."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), width), np.zeros(0, np.uint64)])).tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(held, pa.binary())], ["node", "s"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(n >= similarity * (len(x) + len(y) - n))
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = written(docs.select("node", "text").mapInArrow(sets, "node long, s binary"), "sets")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+
+
+def similar(nodes: DataFrame, similarity: float, paired: int = PAIRED) -> DataFrame:
+    """Edges ``(a, b, d)`` between fingerprints ``nodes (node, fp)`` no further apart than ``similarity`` and the margin allow.
+
+    Buckets of up to ``paired`` are compared pair by pair; in larger ones each
+    text meets the bucket's first and the one before it, in each of the 102
+    orders that keys give, so groups hold together in rows linear in them.
+    """
+    order = Window.partitionBy("key").orderBy("node")
+    all_ = Window.partitionBy("key")
+    seen = _keys(nodes).select(
+        "key", "node", "w", F.count("*").over(all_).alias("n"), F.first(F.struct("node", "w")).over(order).alias("head"), F.lag(F.struct("node", "w")).over(order).alias("before")
+    )
+    seen = written(seen.where("n > 1"), "met")
+    few = seen.where(F.col("n") <= paired).select("key", "node", "w")
+    a, b = few.alias("x"), few.alias("y")
+    close = lambda p, q: F.bit_count(p.bitwiseXOR(q)) <= FIRST
+    pairs = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & close(F.col("x.w"), F.col("y.w"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = seen.where(F.col("n") > paired)
+    for other in ("head", "before"):
+        more = many.where(F.col(f"{other}.node").isNotNull() & (F.col(f"{other}.node") != F.col("node")) & close(F.col("w"), F.col(f"{other}.w")))
+        pairs = pairs.unionByName(more.select(F.col("node").alias("a"), F.col(f"{other}.node").alias("b")))
+    pairs = pairs.distinct()
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    return _near(pairs.select("a", "b", "fa", "fb"), bits_apart(similarity) + MARGIN)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(node, component_id)``, a row a fingerprint: the smallest doc_id of its group; null ids count for none."""
+    rows = written(fingerprints(docs, id_col, text_col, width), "wide")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "nodes")
+    edges = written(similar(nodes, similarity), "near")
+    sure = bits_apart(similarity) - MARGIN
+    open_ = edges.where(F.col("d") > sure).select("a", "b")
+    ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one text a fingerprint: that of its smallest id, of repeats of which any that gives it
+    names = written(nodes.join(ends, "node", "left_semi").where("first IS NOT NULL").select("node", "first"), "ends")
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).cast("string").alias("text")).join(small(names, names.count()), "first")
+    texts = texts.dropDuplicates(["node"])
+    roots = components(edges.where(F.col("d") <= sure).select("a", "b").unionByName(_decided(open_, texts, width, similarity)))
+    least = nodes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))
+    of_linked = roots.join(least, "root").select("node", "least")
+    return nodes.select("node", "first").join(of_linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of texts whose ``width``-word shingles are that similar: that of the smallest id.
+
+    Wordless texts are one group. Of rows that repeat an id one stays. Rows
+    with null ids stay (one of them) only if a group has no id at all. An
+    empty table gives none; all columns are kept.
+    """
+    kept = written(similar_groups(docs, id_col, text_col, width, similarity).select(F.col("component_id").alias("__kept")).distinct(), "kept")
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.dropDuplicates([id_col])

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from indexloom.llm import chat_tools, components, html_consensus, html_page, license_join, line_windows, mixing, packing, prefix_forest, quality_mil, rule_cascade, simhash
+from indexloom.llm import chat_tools, components, html_consensus, html_page, license_join, line_windows, mixing, packing, prefix_forest, quality_mil, rule_cascade, simhash, simhash_wide
 from indexloom.llm.simhash_kernel import fingerprint
 
 DOCS = "doc_id long, text string, source string, size long, fp long, key string, row long, words string, score double"
@@ -167,8 +167,41 @@ def test_groups_odd(odd, none):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == odd.count() and simhash.simhash_groups(none).count() == 0
     assert {r["component_id"] for r in rows if r["fp"] == 0} == {2}
-    kept = simhash.one_of_each(odd, width=3)
+    kept = simhash_wide.one_of_each(odd, width=3)
     assert kept.columns == odd.columns and kept.groupBy("doc_id").count().where("count > 1").count() == 0
+    assert {r["doc_id"] for r in kept.collect()} >= {1, 2, 5, 6, 7} and simhash_wide.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("paired", [64, 3])
+def test_similar_texts_meet(spark, paired):
+    """Planted copies: those of similarity 0.8 or more share a group, others do not; large buckets too."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, kin = [], []
+    for k in range(30):
+        base = [word() for _ in range(300)]
+        for changes in (0, 1, 3, 40):
+            copy = list(base)
+            for at in rng.sample(range(0, 300, 5), changes):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+            kin.append(k if changes < 40 else 1000 + k)
+    hot = [word() for _ in range(400)]
+    for k in range(80):
+        texts.append(" ".join(hot[:200] + [word()] + hot[200:]))
+        kin.append(-1)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash_wide.fingerprints(d, "doc_id", "text", 5)
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
+    edges = [tuple(r)[:2] for r in simhash_wide.similar(nodes, 0.8, paired).where("d <= 155").collect()]
+    node = {r["doc_id"]: r["node"] for r in rows.collect()}
+    found = groups(edges, set(node.values()))
+    together = defaultdict(set)
+    for i, k in enumerate(kin):
+        together[found[node[i]]].add(k)
+    assert all(len(s) == 1 for s in together.values()) and len(together) == 61
+    if paired == 64:
+        assert simhash_wide.one_of_each(d).count() == 61
 
 
 # -- quality ---------------------------------------------------------------
