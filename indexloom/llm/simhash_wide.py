@@ -1,6 +1,6 @@
 """Near-duplicate groups by similarity: wide SimHash fingerprints on a pigeonring.
 
-A fingerprint has 1,020 bits, a ring of 102 segments. Two texts whose shingle
+A fingerprint has 1,020 bits, a ring of 85 segments. Two texts whose shingle
 vectors meet at an angle differ in that part of the bits, within about one
 hundredth, so a similarity is a number of bits, give or take a margin; pairs
 within the margin are decided by their shingle sets. Texts meet if two consecutive
@@ -24,11 +24,11 @@ from .common import small, written
 from .components import components
 from .simhash_kernel import shingle_hashes
 
-SEGMENTS, BITS = 102, 10
+SEGMENTS, BITS = 85, 12
 WORDS = 16
 #: Bits by which near texts may differ within the first 64, over four deviations above what a similarity of 0.8 gives.
 FIRST = 22
-#: Texts under one key beyond which each meets two others of its bucket, not all.
+#: Texts under one key beyond which each meets the first of its bucket only.
 PAIRED = 64
 _STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,30 +137,32 @@ def _decided(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
     return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
+def _checked(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, d)`` of those distinct ``pairs (a, b)`` that similarity and margin allow."""
+    pairs = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    return written(_near(pairs.select("a", "b", "fa", "fb"), bits_apart(similarity) + MARGIN), "near")
+
+
 def similar(nodes: DataFrame, similarity: float, paired: int = PAIRED) -> DataFrame:
     """Edges ``(a, b, d)`` between fingerprints ``nodes (node, fp)`` no further apart than ``similarity`` and the margin allow.
 
-    Buckets of up to ``paired`` are compared pair by pair; in larger ones each
-    text meets the bucket's first and the one before it, in each of the 102
-    orders that keys give, so groups hold together in rows linear in them.
+    First each text meets the first of each of its buckets. What that surely
+    links is a group, so then only texts of different groups are compared,
+    pair by pair in buckets of up to ``paired`` texts: a large group of copies
+    is held together in rows linear in it.
     """
-    order = Window.partitionBy("key").orderBy("node")
-    all_ = Window.partitionBy("key")
-    seen = _keys(nodes).select(
-        "key", "node", "w", F.count("*").over(all_).alias("n"), F.first(F.struct("node", "w")).over(order).alias("head"), F.lag(F.struct("node", "w")).over(order).alias("before")
-    )
+    order, all_ = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
+    seen = _keys(nodes).select("key", "node", "w", F.count("*").over(all_).alias("n"), F.first(F.struct("node", "w")).over(order).alias("head"))
     seen = written(seen.where("n > 1"), "met")
-    few = seen.where(F.col("n") <= paired).select("key", "node", "w")
-    a, b = few.alias("x"), few.alias("y")
     close = lambda p, q: F.bit_count(p.bitwiseXOR(q)) <= FIRST
-    pairs = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & close(F.col("x.w"), F.col("y.w"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    many = seen.where(F.col("n") > paired)
-    for other in ("head", "before"):
-        more = many.where(F.col(f"{other}.node").isNotNull() & (F.col(f"{other}.node") != F.col("node")) & close(F.col("w"), F.col(f"{other}.w")))
-        pairs = pairs.unionByName(more.select(F.col("node").alias("a"), F.col(f"{other}.node").alias("b")))
-    pairs = pairs.distinct()
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    return _near(pairs.select("a", "b", "fa", "fb"), bits_apart(similarity) + MARGIN)
+    heads = seen.where((F.col("head.node") != F.col("node")) & close(F.col("w"), F.col("head.w"))).select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    first = _checked(heads, nodes, similarity)
+    sure = components(first.where(F.col("d") <= bits_apart(similarity) - MARGIN).select("a", "b"))
+    few = seen.where(F.col("n").between(3, paired)).select("key", "node", "w").join(sure, "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("g"))
+    a, b = few.alias("x"), few.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.g") != F.col("y.g")) & close(F.col("x.w"), F.col("y.w"))
+    rest = a.join(b, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return first.unionByName(_checked(rest, nodes, similarity))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -189,5 +191,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives none; all columns are kept.
     """
     kept = written(similar_groups(docs, id_col, text_col, width, similarity).select(F.col("component_id").alias("__kept")).distinct(), "kept")
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])  # one shuffle of texts
+    if kept.where("__kept IS NULL").isEmpty():
+        return named
+    return named.unionByName(docs.where(F.col(id_col).isNull()).limit(1))

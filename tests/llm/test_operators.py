@@ -193,7 +193,7 @@ def test_similar_texts_meet(spark, paired):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = simhash_wide.fingerprints(d, "doc_id", "text", 5)
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"))
-    edges = [tuple(r)[:2] for r in simhash_wide.similar(nodes, 0.8, paired).where("d <= 155").collect()]
+    edges = [tuple(r)[:2] for r in simhash_wide.similar(nodes, 0.8, paired).where("d <= 155").collect()]  # as far apart as 0.8 gives
     node = {r["doc_id"]: r["node"] for r in rows.collect()}
     found = groups(edges, set(node.values()))
     together = defaultdict(set)
