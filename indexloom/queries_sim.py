@@ -139,7 +139,7 @@ def covariance_pairwise(spark: SparkSession, sf: str) -> DataFrame:
     return risk.covariance(_largest(spark, sf), "price_return")
 
 
-@query("panel", sql=_COV + ", fl AS (SELECT business_date FROM pn GROUP BY 1 HAVING count(*) = 20) SELECT a.instrument_id AS i, b.instrument_id AS j, covar_samp(a.price_return, b.price_return) AS cov, count(*) AS observations FROM pn a JOIN pn b USING (business_date) JOIN fl USING (business_date) GROUP BY 1, 2", dates=False)
+@query("panel", sql=_COV + ", fl AS (SELECT business_date FROM pn GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM tp)) SELECT a.instrument_id AS i, b.instrument_id AS j, covar_samp(a.price_return, b.price_return) AS cov, count(*) AS observations FROM pn a JOIN pn b USING (business_date) JOIN fl USING (business_date) GROUP BY 1, 2", dates=False)
 def covariance_complete(spark: SparkSession, sf: str) -> DataFrame:
     return risk.covariance(_largest(spark, sf), "price_return", complete=True)
 
