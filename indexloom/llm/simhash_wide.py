@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import small, written
+from . import shingle_join
+from .common import written
 from .components import components
 from .simhash_kernel import shingle_hashes
 
@@ -115,28 +116,6 @@ def _near(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.mapInArrow(of, "a long, b long, d long")
 
 
-def _decided(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose shingle sets are that similar; ``docs (node, text)`` has a text of each node."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.unique(np.concatenate([*shingle_hashes(t.as_py(), width), np.zeros(0, np.uint64)])).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(held, pa.binary())], ["node", "s"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(n >= similarity * (len(x) + len(y) - n))
-            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    held = written(docs.select("node", "text").mapInArrow(sets, "node long, s binary"), "sets")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
-
-
 def _checked(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """``(a, b, d)`` of those distinct ``pairs (a, b)`` that similarity and margin allow."""
     pairs = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
@@ -165,33 +144,25 @@ def similar(nodes: DataFrame, similarity: float, paired: int = PAIRED) -> DataFr
     return first.unionByName(_checked(rest, nodes, similarity))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(node, component_id)``, a row a fingerprint: the smallest doc_id of its group; null ids count for none."""
-    rows = written(fingerprints(docs, id_col, text_col, width), "wide")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "nodes")
-    edges = written(similar(nodes, similarity), "near")
-    sure = bits_apart(similarity) - MARGIN
-    open_ = edges.where(F.col("d") > sure).select("a", "b")
-    ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text a fingerprint: that of its smallest id, of repeats of which any that gives it
-    names = written(nodes.join(ends, "node", "left_semi").where("first IS NOT NULL").select("node", "first"), "ends")
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).cast("string").alias("text")).join(small(names, names.count()), "first")
-    texts = texts.dropDuplicates(["node"])
-    roots = components(edges.where(F.col("d") <= sure).select("a", "b").unionByName(_decided(open_, texts, width, similarity)))
-    least = nodes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))
-    of_linked = roots.join(least, "root").select("node", "least")
-    return nodes.select("node", "first").join(of_linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of texts whose ``width``-word shingles are that similar: that of the smallest id.
+    """``docs`` with one row of each group of texts whose ``width``-word shingles are that similar, by ``shingle_join``.
 
-    Wordless texts are one group. Of rows that repeat an id one stays. Rows
-    with null ids stay (one of them) only if a group has no id at all. An
-    empty table gives none; all columns are kept.
+    The smallest id's row stays, one without id only if its whole group has
+    none; of equal ids that of the smaller text hash. Wordless texts are one
+    group. Of rows that repeat an id only those of one text (the smallest
+    hash) take part. An empty table gives none; all columns are kept.
     """
-    kept = written(similar_groups(docs, id_col, text_col, width, similarity).select(F.col("component_id").alias("__kept")).distinct(), "kept")
-    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])  # one shuffle of texts
-    if kept.where("__kept IS NULL").isEmpty():
-        return named
-    return named.unionByName(docs.where(F.col(id_col).isNull()).limit(1))
+    rows = written(shingle_join.prefixes(docs, id_col, text_col, width, similarity), "prefixes")
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least < most")
+    several = written(several, "several")
+    if not several.isEmpty():
+        rows = rows.join(several, "doc_id", "left").where("least IS NULL OR th = least")
+    name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("name")
+    nodes = written(rows.groupBy("node").agg(name, F.first("n").alias("n"), F.first("mid").alias("mid"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = nodes.select("node", "name", F.col("name.th").alias("th"), "n", "mid", "prefix")
+    roots = shingle_join.linked(nodes, docs, text_col, width, similarity)
+    of_each = nodes.select("node", "name").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("name").alias("name"))
+    kept = written(of_each.select(F.col("name.doc_id").alias("__kept"), F.col("name.th").alias("__th")), "kept")
+    named = docs.withColumn("__text", shingle_join.text_hash(text_col))
+    found = named.join(kept, (F.col("__text") == F.col("__th")) & F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return found.dropDuplicates([id_col, "__text"]).drop("__text")

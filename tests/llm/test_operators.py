@@ -204,6 +204,34 @@ def test_similar_texts_meet(spark, paired):
         assert simhash_wide.one_of_each(d).count() == 61
 
 
+def edited(rng, base, changes):
+    """``base`` with so many of its words, five or more apart, replaced."""
+    copy = list(base)
+    for at in rng.sample(range(0, len(base), 5), changes):
+        copy[at] = "".join(rng.choices("klmnopqrst", k=7))
+    return copy
+
+
+def least_of_groups(texts, width=5, similarity=0.8):
+    """Plain: the smallest number of each group of texts, all pairs of shingle sets compared."""
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in words]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    return set(groups(near, range(len(sets))).values()), len(near)
+
+
+def test_pairs_near_the_mark(spark):
+    """Pairs of similarity 0.76 to 0.85: those of 0.8 or more are joined, each of them, and no other."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(300):
+        base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+        texts += [" ".join(base), " ".join(edited(rng, base, rng.choice([3, 4, 4, 5])))]
+    least, near = least_of_groups(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 100 < near < 300 and {r["doc_id"] for r in simhash_wide.one_of_each(d).collect()} == least
+
+
 # -- quality ---------------------------------------------------------------
 
 
