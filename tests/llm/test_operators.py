@@ -232,6 +232,27 @@ def test_pairs_near_the_mark(spark):
     assert 100 < near < 300 and {r["doc_id"] for r in simhash_wide.one_of_each(d).collect()} == least
 
 
+@pytest.mark.parametrize("hub", [True, False])
+def test_large_group_near_the_mark(spark, hub):
+    """Copies whose similarity to their source is about 0.8, and a chain of texts each near the next only."""
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+    if hub:
+        texts = [" ".join(edited(rng, base, rng.choice([3, 4, 4, 4, 5]))) for _ in range(200)]
+        texts.insert(100, " ".join(base))
+    else:
+        texts, now = [], base
+        for _ in range(120):
+            now = edited(rng, now, 4)
+            texts.append(" ".join(now))
+        tails = [" ".join(edited(rng, base, 12)) for _ in range(100)]
+        texts += tails
+        rng.shuffle(texts)
+    least, _ = least_of_groups(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_wide.one_of_each(d).collect()} == least
+
+
 # -- quality ---------------------------------------------------------------
 
 
