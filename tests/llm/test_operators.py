@@ -253,6 +253,16 @@ def test_large_group_near_the_mark(spark, hub):
     assert {r["doc_id"] for r in simhash_wide.one_of_each(d).collect()} == least
 
 
+def test_repeated_shingles_do_not_join(spark):
+    """A sentence repeated within one line makes two different texts no copies."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    sentence = " ".join(word() for _ in range(20))
+    texts = [" ".join([*(word() for _ in range(300)), *[sentence] * 100]) for _ in range(2)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash_wide.one_of_each(d).count() == 2
+
+
 # -- quality ---------------------------------------------------------------
 
 
