@@ -263,6 +263,18 @@ def test_repeated_shingles_do_not_join(spark):
     assert simhash_wide.one_of_each(d).count() == 2
 
 
+def test_null_ids_keep_their_texts(spark):
+    """Texts without an id stay, one a group, unless their group has an id; of a repeated id one row stays."""
+    texts = [f"w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f" for k in range(20)]
+    d = [(None, t) for t in texts] * 2 + [(3, texts[3]), (5, texts[4]), (5, texts[4]), (5, "of another text that no other row has"), (9, texts[5])]
+    kept = simhash_wide.one_of_each(spark.createDataFrame(d, "doc_id long, text string")).collect()
+    named = [r["doc_id"] for r in kept if r["doc_id"] is not None]
+    nameless = sorted(r["text"] for r in kept if r["doc_id"] is None)
+    assert sorted(named) == [3, 5, 9]
+    held = {3, 5} | ({4} if (5, texts[4]) in [tuple(r) for r in kept] else set())
+    assert nameless == sorted(t for k, t in enumerate(texts) if k not in held)
+
+
 # -- quality ---------------------------------------------------------------
 
 
