@@ -4,8 +4,8 @@ Every vector has in each tree a long string of symbols: each symbol names the
 largest of a few randomly rotated coordinates and its sign (4 bits). Blocks of
 rows keep, for each tree, their strings sorted. A query descends in every tree
 to the strings that share its longest prefixes and ascends all trees at once,
-symbol by symbol, until enough candidates are below it; those are compared
-exactly, in double precision.
+symbol by symbol, until enough candidates are below it and ``k`` other rows among
+them; those are compared exactly, in double precision.
 
 How many are enough is measured: on a bounded sample of queries, brute force
 over all rows gives the true neighbours, and the fewest candidates are taken
@@ -203,8 +203,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 ids = np.frombuffer(r["ids"], np.int64)
                 yield pa.record_batch([pa.array(np.full(len(ids), r["b"])), pa.array(np.arange(len(ids))), pa.array(ids)], ["b", "i", "query_id"])
 
-    placed = flat.select("b", "ids").mapInArrow(listed, "b long, i long, query_id long").join(levels, "query_id")
-    by_block = placed.groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "level"))), lambda x: x["level"]).alias("at"))  # a query block's at most
+    places = flat.select("b", "ids").mapInArrow(listed, "b long, i long, query_id long")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +212,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 q = _Block(r["ids"], r["vectors"], r["strings"], dim)
                 at = np.array(r["at"])
                 found: list[tuple] = []
-                for level in np.unique(at):
+                for level in np.unique(at[at >= 0]):
                     some = np.flatnonzero(at == level)
                     low, high = block.spans(q.codes[some], int(level))
                     for j, i in enumerate(some):
@@ -225,8 +224,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 cells = zip(*found) if found else ((), (), ())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    met = _met(flat.join(by_block, "b").drop("b"), index)
-    found = met.mapInArrow(find, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def found_at(levels: DataFrame) -> DataFrame:
+        """Up to ``k`` rows a block for each query of ``levels (query_id, level)``; the others (-1) are passed over."""
+        placed = places.join(levels, "query_id", "left").select("b", "i", F.coalesce("level", F.lit(-1)).alias("level"))
+        by_block = placed.groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "level"))), lambda x: x["level"]).alias("at"))  # a query block's at most
+        met = _met(flat.join(by_block, "b").drop("b"), index)
+        return written(met.mapInArrow(find, "query_id long, vec_id long, score double"), "found")
+
+    levels = written(levels, "levels-of")
+    found = found_at(levels)
+    # the count has repeats and the query itself: who has met fewer than k others ascends
+    for _ in range(SYMBOLS):
+        others = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("others"))
+        short = levels.join(others, "query_id", "left").where((F.coalesce("others", F.lit(0)) < k) & (F.col("level") > 0))
+        levels = written(short.select("query_id", F.floor(F.col("level") / 2).cast("int").alias("level")), "levels-of")
+        if levels.isEmpty():
+            break
+        found = found.unionByName(found_at(levels))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

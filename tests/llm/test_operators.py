@@ -573,6 +573,16 @@ def test_neighbours_beyond_one_block(spark):
     assert list(got[5000][k] for k in (1, 2)) == [0, 5001]
 
 
+def test_neighbours_of_isolated_vectors(spark):
+    """Clusters of close vectors and a few vectors alone: each query gets its ten, the lone ones too."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 32))
+    x = np.concatenate([np.repeat(centres, 50, axis=0) + rng.normal(0, 1e-4, (1000, 32)), rng.normal(size=(4, 32)) * 3])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = Counter(r["query_id"] for r in prefix_forest.search(d, d.where("vec_id % 10 = 0 OR vec_id >= 1000")).collect())
+    assert found == dict.fromkeys([*range(0, 1000, 10), *range(1000, 1004)], 10)
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.1]), (9, [])]
