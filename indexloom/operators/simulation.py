@@ -35,6 +35,11 @@ class Drift(StrEnum):
     CAP = "capitalization"
 
 
+class Gaps(StrEnum):
+    REPORT = "report"
+    CARRY = "carry"
+
+
 KINDS = ("price", "gross_total", "net_total")
 
 
@@ -77,7 +82,7 @@ def segments(calendar: DataFrame, applied: DataFrame, phase: Phase = Phase.OPEN)
 def normalised(weights: DataFrame) -> DataFrame:
     """``(portfolio, effective_date, instrument_id, weight)`` with weights that sum to 1 by portfolio and review."""
     total = weights.groupBy("portfolio", "effective_date").agg(F.sum("weight").alias("__total"))
-    return weights.join(F.broadcast(total), ["portfolio", "effective_date"]).withColumn("weight", F.col("weight") / F.col("__total")).drop("__total")
+    return weights.join(total, ["portfolio", "effective_date"]).withColumn("weight", F.col("weight") / F.col("__total")).drop("__total")
 
 
 def both_portfolios(reviews: DataFrame) -> DataFrame:
@@ -86,12 +91,28 @@ def both_portfolios(reviews: DataFrame) -> DataFrame:
     return reviews.select("effective_date", "instrument_id", F.explode(pair).alias("p")).select("p.portfolio", "effective_date", "instrument_id", "p.weight")
 
 
-def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing: Timing = Timing.NEXT, drift: Drift = Drift.PRICE) -> DataFrame:
+def carried(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``panel`` with a row for each instrument and date from its first observation on; where it has none, returns and dividends are 0 and the cap is the last one seen."""
+    cells = ("price_return", "gross_dividend", "net_dividend", "market_cap")
+    obs = panel.select("instrument_id", F.col("business_date").cast("date").alias("business_date"), *cells)
+    days = calendar.agg(F.sort_array(F.collect_set(F.col("business_date").cast("date"))).alias("__days"))  # one row of the calendar
+    since = obs.groupBy("instrument_id").agg(F.min("business_date").alias("__since")).join(F.broadcast(days))
+    grid = since.select("instrument_id", F.explode(F.filter("__days", lambda d: d >= F.col("__since"))).alias("business_date"))
+    d = grid.join(obs, ["instrument_id", "business_date"], "left")
+    d = d.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cells[:3]})
+    upto = Window.partitionBy("instrument_id").orderBy("business_date").rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("market_cap", F.last("market_cap", True).over(upto))
+
+
+def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing: Timing = Timing.NEXT, drift: Drift = Drift.PRICE, gaps: Gaps = Gaps.REPORT) -> DataFrame:
     """Each instrument a portfolio holds on each date, with its weight mass before and after the date's return.
 
     A held instrument without an observation on a date it is held has null
-    returns there, which ``checked`` reports.
+    returns there, which ``checked`` reports, or stands still there if ``gaps``
+    are carried (see ``carried``).
     """
+    if gaps == Gaps.CARRY:
+        panel = carried(panel, panel.select("business_date").distinct())
     applied = applications(weights, panel, timing)
     days = segments(panel, applied, phase)
     targets = normalised(weights).join(F.broadcast(applied), "effective_date").withColumnRenamed("applied_date", "segment")
@@ -149,7 +170,7 @@ def daily(h: DataFrame, dividends: Dividends = Dividends.STANDARD, base: float =
 def weights_by_date(h: DataFrame) -> DataFrame:
     """``h`` with opening and closing weights; totals are a row a portfolio and date."""
     totals = h.groupBy("portfolio", "business_date").agg(F.sum("mass_before").alias("__b"), F.sum("mass").alias("__a"))
-    d = h.join(F.broadcast(totals), ["portfolio", "business_date"])
+    d = h.join(totals, ["portfolio", "business_date"])
     return d.withColumn("opening_weight", F.col("mass_before") / F.col("__b")).withColumn("closing_weight", F.col("mass") / F.col("__a")).drop("__a", "__b")
 
 
@@ -163,15 +184,17 @@ def holdings(h: DataFrame) -> DataFrame:
 def boundary(h: DataFrame) -> DataFrame:
     """At each applied date but the first: what is held before and after, by portfolio and instrument.
 
-    Before is the closing weight of the segment that ends there.
+    Before is the closing weight of the segment that ends there. One pass over
+    ``h``: each instrument's target and last mass of each segment; totals and
+    the next segment come from that.
     """
-    w = weights_by_date(h)
-    last = h.groupBy("segment").agg(F.max("business_date").alias("business_date"))  # a row a segment
-    order = last.withColumn("__next", F.lead("segment").over(Window.orderBy("segment"))).where("__next IS NOT NULL")
-    old = w.join(F.broadcast(order), ["segment", "business_date"]).select("portfolio", F.col("__next").alias("applied_date"), "instrument_id", F.col("closing_weight").alias("pre_rebalance"))
-    new = w.select("portfolio", F.col("segment").alias("applied_date"), "instrument_id", F.col("weight").alias("target")).distinct()
-    starts = F.broadcast(order.select(F.col("__next").alias("applied_date")))
-    new = new.join(starts, "applied_date")
+    by = ("portfolio", "segment")
+    ends = h.groupBy(*by, "instrument_id").agg(F.max_by("mass", "business_date").alias("mass"), F.max("weight").alias("target"))
+    last = ends.groupBy(*by).agg(F.sum("mass").alias("__total"))
+    order = ends.select("segment").distinct().withColumn("__next", F.lead("segment").over(Window.orderBy("segment"))).where("__next IS NOT NULL")  # a row a segment
+    old = ends.join(last, list(by)).join(order, "segment")
+    old = old.select("portfolio", F.col("__next").alias("applied_date"), "instrument_id", (F.col("mass") / F.col("__total")).alias("pre_rebalance"))
+    new = ends.select("portfolio", F.col("segment").alias("applied_date"), "instrument_id", "target").join(order.select(F.col("__next").alias("applied_date")), "applied_date")
     both = old.join(new, ["portfolio", "applied_date", "instrument_id"], "full")
     return both.select("portfolio", "applied_date", "instrument_id", F.coalesce("pre_rebalance", F.lit(0.0)).alias("pre_rebalance"), F.coalesce("target", F.lit(0.0)).alias("target"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .operators import comparison, construction, risk, scenarios
 from .operators.construction import Criterion, Exposure, Limits, Tilt, Weighting
 from .queries import query
-from .queries_sim import _complete
 from .sources import calendars, contracts, providers, rules
 from .sources import views as v
 
@@ -93,14 +92,13 @@ def relative_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def minimum_variance_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Least-variance weights of the 30 largest names at each review, from the 24 months before it."""
-    panel, cons = _complete(spark, sf)
-    place = F.row_number().over(Window.partitionBy("effective_date").orderBy(F.desc("market_cap"), "instrument_id"))
-    top = cons.withColumn("p", place).where("p <= 30").drop("p", "index_weight")
-    top = top.withColumn("benchmark_weight", F.col("benchmark_weight") / F.sum("benchmark_weight").over(Window.partitionBy("effective_date")))
-    refs = top.select("effective_date", "reference_date", "instrument_id")
-    past = panel.select("instrument_id", "business_date", "price_return").join(refs, "instrument_id")
+    """Least-variance weights of each review's names that have 15 of the 24 months before it, so that any two share six."""
+    refs = v.constituents(spark, sf).drop("index_weight")
+    past = v.panel(spark, sf).select("instrument_id", "business_date", "price_return").join(refs.select("effective_date", "reference_date", "instrument_id"), "instrument_id")
     past = past.where((F.col("business_date") <= F.col("reference_date")) & (F.col("business_date") > F.add_months("reference_date", -24)))
+    known = past.groupBy("effective_date", "instrument_id").agg(F.count("price_return").alias("n")).where("n >= 15").drop("n")
+    past, top = past.join(known, ["effective_date", "instrument_id"]), refs.join(known, ["effective_date", "instrument_id"])
+    top = top.withColumn("benchmark_weight", F.col("benchmark_weight") / F.sum("benchmark_weight").over(Window.partitionBy("effective_date")))
     cov = risk.covariance(past, "price_return", ["effective_date"])
     return construction.minimum_variance(top, cov, Limits(maximum=0.15, groups={"industry": 0.1})).select("effective_date", "instrument_id", "index_weight", "solver_status")
 

@@ -9,20 +9,10 @@ from .operators import attribution, risk, simulation
 from .queries import BENCH, INDEX, query
 from .sources import views as v
 
-#: Instruments with data in every month, and reviews over those.
-_COMPLETE = """WITH whole AS (SELECT instrument_id FROM panel GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT business_date) FROM panel)),
-pn AS (SELECT * FROM panel JOIN whole USING (instrument_id)), cn AS (SELECT * FROM constituents JOIN whole USING (instrument_id)) """
-
-
-def _complete(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    panel = v.panel(spark, sf)
-    n = F.broadcast(panel.agg(F.count_distinct("business_date").alias("__n")))
-    whole = panel.groupBy("instrument_id").agg(F.count("*").alias("__m")).join(n).where("__m = __n").select("instrument_id")
-    return panel.join(whole, "instrument_id", "left_semi"), v.constituents(spark, sf).join(whole, "instrument_id", "left_semi")
 
 
 def _sim_sql(close: bool, drift: str, alternative: bool = False) -> str:
-    """The same closed form, in SQL: segments, masses, sums by date."""
+    """The same closed form, in SQL: segments, masses, sums by date; gaps of what is held are carried."""
     seg = "coalesce(max(a.ad) FILTER (a.ad < d.business_date), max(a.ad) FILTER (a.ad <= d.business_date))" if close else "max(a.ad) FILTER (a.ad <= d.business_date)"
     mass = {
         "price": "w * product(1 + price_return) OVER s",
@@ -30,11 +20,7 @@ def _sim_sql(close: bool, drift: str, alternative: bool = False) -> str:
         "cap": "CASE WHEN w > 0 THEN market_cap ELSE 0 END",
     }[drift]
     total = (lambda x: f"sum(mb * (1 + price_return)) / sum(mb) / (1 - sum(mb * {x}) / sum(mb))") if not alternative else (lambda x: f"sum(mb * (1 + price_return)) / sum(mb) + sum(mb * {x}) / sum(mb)")
-    return _COMPLETE + f""", ap AS (SELECT DISTINCT effective_date AS ad FROM cn), dy AS (SELECT DISTINCT business_date FROM pn),
-sg AS (SELECT d.business_date, {seg} AS segment FROM dy d, ap a GROUP BY 1),
-st AS (SELECT effective_date, instrument_id, unnest(['index', 'benchmark']) AS portfolio, unnest([index_weight, benchmark_weight]) AS w FROM cn),
-tg AS (SELECT effective_date, instrument_id, portfolio, w / sum(w) OVER (PARTITION BY portfolio, effective_date) AS w FROM st),
-ob AS (SELECT *, lag(market_cap) OVER (PARTITION BY instrument_id ORDER BY business_date) AS cap_before FROM pn),
+    return _TARGETS.replace("{seg}", seg) + f""",
 hd AS (SELECT portfolio, segment, instrument_id, business_date, w, price_return, gross_dividend, net_dividend, {mass} AS m
        FROM sg JOIN tg ON effective_date = segment JOIN ob USING (instrument_id, business_date) WINDOW s AS (PARTITION BY portfolio, segment, instrument_id ORDER BY business_date)),
 he AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY portfolio, segment, instrument_id ORDER BY business_date), w) AS mb FROM hd),
@@ -42,6 +28,27 @@ fa AS (SELECT portfolio, business_date, sum(mb * (1 + price_return)) / sum(mb) A
 wt AS (SELECT *, mb / sum(mb) OVER (PARTITION BY portfolio, business_date) AS ow, m / sum(m) OVER (PARTITION BY portfolio, business_date) AS cw FROM he) """
 
 
+#: Segments, targets and observations; a date without one of an instrument has returns of 0 and the last cap.
+_TARGETS = """WITH ap AS (SELECT DISTINCT effective_date AS ad FROM constituents), dy AS (SELECT DISTINCT business_date FROM panel),
+sg AS (SELECT d.business_date, {seg} AS segment FROM dy d, ap a GROUP BY 1),
+st AS (SELECT effective_date, instrument_id, unnest(['index', 'benchmark']) AS portfolio, unnest([index_weight, benchmark_weight]) AS w FROM constituents),
+tg AS (SELECT effective_date, instrument_id, portfolio, w / sum(w) OVER (PARTITION BY portfolio, effective_date) AS w FROM st),
+gr AS (SELECT instrument_id, business_date FROM (SELECT instrument_id, min(business_date) AS since FROM panel GROUP BY 1) JOIN dy ON business_date >= since),
+og AS (SELECT instrument_id, business_date, coalesce(price_return, 0) AS price_return, coalesce(gross_dividend, 0) AS gross_dividend, coalesce(net_dividend, 0) AS net_dividend,
+       last_value(market_cap IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY business_date) AS market_cap FROM gr LEFT JOIN panel USING (instrument_id, business_date)),
+ob AS (SELECT *, lag(market_cap) OVER (PARTITION BY instrument_id ORDER BY business_date) AS cap_before FROM og)"""
+
+#: A plain loop over days: weights of the day before, moved by its returns and made to sum to 1 again.
+_LOOP = "WITH RECURSIVE " + _TARGETS.replace("{seg}", "max(a.ad) FILTER (a.ad <= d.business_date)")[5:] + """,
+dn AS (SELECT business_date, segment, row_number() OVER (PARTITION BY segment ORDER BY business_date) AS n FROM sg WHERE segment IS NOT NULL),
+lp AS (SELECT portfolio, effective_date AS segment, instrument_id, CAST(1 AS BIGINT) AS n, w FROM tg
+       UNION ALL
+       SELECT l.portfolio, l.segment, l.instrument_id, l.n + 1, l.w * (1 + price_return) / sum(l.w * (1 + price_return)) OVER (PARTITION BY l.portfolio, l.segment)
+       FROM lp l JOIN dn USING (segment, n) JOIN ob USING (instrument_id, business_date)),
+fa AS (SELECT portfolio, business_date, 1 + sum(w * price_return) AS price, (1 + sum(w * price_return)) / (1 - sum(w * gross_dividend)) AS gross_total, (1 + sum(w * price_return)) / (1 - sum(w * net_dividend)) AS net_total
+       FROM lp JOIN dn USING (segment, n) JOIN ob USING (instrument_id, business_date) GROUP BY 1, 2) """
+
+
 _DAILY = (
     ", wd AS (SELECT business_date, " + ", ".join(f"max({k}) FILTER (portfolio = '{p}') AS {p}_{k}" for p in ("index", "benchmark") for k in simulation.KINDS) + " FROM fa GROUP BY 1) SELECT business_date, "
     + ", ".join(f"{p}_{k} - 1 AS {p}_{k}_return, 100 * product({p}_{k}) OVER (ORDER BY business_date) AS {p}_{k}_level" for p in ("index", "benchmark") for k in simulation.KINDS)
@@ -54,11 +61,10 @@ bn AS (SELECT portfolio, applied_date, instrument_id, coalesce(pre, 0) AS pre, c
 
 
 def _held(spark: SparkSession, sf: str, phase=simulation.Phase.OPEN, drift=simulation.Drift.PRICE) -> DataFrame:
-    panel, cons = _complete(spark, sf)
-    return simulation.held(panel, simulation.both_portfolios(cons), phase, drift=drift)
+    return simulation.held(v.panel(spark, sf), simulation.both_portfolios(v.constituents(spark, sf)), phase, drift=drift, gaps=simulation.Gaps.CARRY)
 
 
-@query("constituents", sql=_sim_sql(False, "price") + _DAILY)
+@query("constituents", sql=_LOOP + _DAILY)
 def simulation_daily(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.daily(_held(spark, sf))
 
@@ -105,11 +111,11 @@ def simulation_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.snapshots(_held(spark, sf))
 
 
-@query("constituents", sql=_COMPLETE + """, w AS (SELECT instrument_id, index_weight / sum(index_weight) OVER () AS w FROM cn WHERE effective_date = (SELECT min(effective_date) FROM cn)),
-f AS (SELECT business_date, sum(w * (1 + price_return)) / sum(w) AS p, sum(w * gross_dividend) / sum(w) AS g, sum(w * net_dividend) / sum(w) AS n FROM pn JOIN w USING (instrument_id) GROUP BY 1)
+@query("constituents", sql="""WITH w AS (SELECT instrument_id, index_weight / sum(index_weight) OVER () AS w FROM constituents WHERE effective_date = (SELECT min(effective_date) FROM constituents)),
+f AS (SELECT business_date, sum(w * (1 + price_return)) / sum(w) AS p, sum(w * gross_dividend) / sum(w) AS g, sum(w * net_dividend) / sum(w) AS n FROM panel JOIN w USING (instrument_id) GROUP BY 1)
 SELECT business_date, p AS price, p / (1 - g) AS gross_total, p / (1 - n) AS net_total FROM f""")
 def fixed_weight_returns(spark: SparkSession, sf: str) -> DataFrame:
-    panel, cons = _complete(spark, sf)
+    panel, cons = v.panel(spark, sf), v.constituents(spark, sf)
     first = F.broadcast(cons.agg(F.min("effective_date").alias("__d")))
     w = cons.join(first, F.col("effective_date") == F.col("__d")).select("instrument_id", F.col("index_weight").alias("weight"))
     return simulation.fixed_weight_returns(panel, w)
@@ -123,47 +129,39 @@ def simulation_rebased(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- risk ------------------------------------------------------------------
 
-_COV = """WITH tp AS (SELECT instrument_id FROM panel GROUP BY 1 ORDER BY sum(market_cap) DESC, instrument_id LIMIT 20), pn AS (SELECT * FROM panel JOIN tp USING (instrument_id)),
-cv AS (SELECT a.instrument_id AS i, b.instrument_id AS j, covar_samp(a.price_return, b.price_return) AS cov, count(*) AS observations FROM pn a JOIN pn b USING (business_date) GROUP BY 1, 2) """
-
-
-def _largest(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
-    """Market data of the ``n`` largest instruments over all months: what a covariance report is about."""
-    panel = v.panel(spark, sf)
-    top = panel.groupBy("instrument_id").agg(F.sum("market_cap").alias("m")).orderBy(F.desc("m"), "instrument_id").limit(n)
-    return panel.join(F.broadcast(top.select("instrument_id")), "instrument_id")
+_COV = "WITH pn AS (SELECT * FROM panel), cv AS (SELECT a.instrument_id AS i, b.instrument_id AS j, covar_samp(a.price_return, b.price_return) AS cov, count(*) AS observations FROM pn a JOIN pn b USING (business_date) GROUP BY 1, 2) "
 
 
 @query("panel", sql=_COV + "SELECT * FROM cv", dates=False)
 def covariance_pairwise(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.covariance(_largest(spark, sf), "price_return")
+    return risk.covariance(v.panel(spark, sf), "price_return")
 
 
-@query("panel", sql=_COV + ", fl AS (SELECT business_date FROM pn GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM tp)) SELECT a.instrument_id AS i, b.instrument_id AS j, covar_samp(a.price_return, b.price_return) AS cov, count(*) AS observations FROM pn a JOIN pn b USING (business_date) JOIN fl USING (business_date) GROUP BY 1, 2", dates=False)
+@query("panel", sql=_COV + ", fl AS (SELECT business_date FROM pn GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT instrument_id) FROM pn)) SELECT a.instrument_id AS i, b.instrument_id AS j, covar_samp(a.price_return, b.price_return) AS cov, count(*) AS observations FROM pn a JOIN pn b USING (business_date) JOIN fl USING (business_date) GROUP BY 1, 2", dates=False)
 def covariance_complete(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.covariance(_largest(spark, sf), "price_return", complete=True)
+    return risk.covariance(v.panel(spark, sf), "price_return", complete=True)
 
 
 @query("panel", sql=_COV + "SELECT i, j, CASE WHEN i = j THEN cov ELSE 0.7 * cov END AS cov, observations FROM cv", dates=False)
 def covariance_shrunk_diagonal(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.shrunk(risk.covariance(_largest(spark, sf), "price_return"), 0.3)
+    return risk.shrunk(risk.covariance(v.panel(spark, sf), "price_return"), 0.3)
 
 
 @query("panel", sql=_COV + "SELECT i, j, 0.7 * cov + CASE WHEN i = j THEN 0.3 * (SELECT avg(cov) FROM cv WHERE i = j) ELSE 0 END AS cov, observations FROM cv", dates=False)
 def covariance_shrunk_identity(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.shrunk(risk.covariance(_largest(spark, sf), "price_return"), 0.3, identity=True)
+    return risk.shrunk(risk.covariance(v.panel(spark, sf), "price_return"), 0.3, identity=True)
 
 
 @query()
 def covariance_factor_model(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.factor_covariance(_largest(spark, sf).withColumn("model", F.lit("all")), "price_return", "model")
+    return risk.factor_covariance(v.panel(spark, sf).withColumn("model", F.lit("all")), "price_return", "model")
 
 
 @query("panel", sql=_COV + """, w AS (SELECT instrument_id, sum(market_cap) / (SELECT sum(market_cap) FROM pn) AS weight FROM pn GROUP BY 1), m AS (SELECT i AS instrument_id, sum(cov * w.weight) AS mv FROM cv JOIN w ON j = w.instrument_id GROUP BY 1),
 d AS (SELECT instrument_id, weight, mv, sqrt(sum(weight * mv) OVER ()) AS volatility FROM w JOIN m USING (instrument_id))
 SELECT instrument_id, weight, mv / volatility AS marginal_risk, weight * mv / volatility AS risk_contribution, weight * mv / volatility / volatility AS risk_contribution_ratio, volatility FROM d""", dates=False)
 def risk_contributions(spark: SparkSession, sf: str) -> DataFrame:
-    top = _largest(spark, sf)
+    top = v.panel(spark, sf)
     w = top.groupBy("instrument_id").agg(F.sum("market_cap").alias("m"))
     w = w.join(F.broadcast(w.agg(F.sum("m").alias("t")))).select("instrument_id", (F.col("m") / F.col("t")).alias("weight"))
     return risk.contributions(w, risk.covariance(top, "price_return"))

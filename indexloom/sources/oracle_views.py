@@ -50,8 +50,10 @@ def over(*views: str, then: str, dates: bool | str = True) -> str:
     for v in views:
         parts += [p for p in _NEEDS[v] if p not in parts]
     then = then.strip()
+    recursive = "RECURSIVE " if then.startswith("WITH RECURSIVE ") else ""
+    then = then.replace("WITH RECURSIVE ", "WITH ", 1) if recursive else then
     if parts:
-        then = "WITH " + ",".join(parts) + (f", {then[5:]}" if then.startswith("WITH ") else f" {then}")
+        then = f"WITH {recursive}" + ",".join(parts) + (f", {then[5:]}" if then.startswith("WITH ") else f" {then}")
     if dates == "all":
         return f"SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({then})"
     return f"SELECT COLUMNS(lambda c: NOT suffix(c, '_date')), CAST(COLUMNS('_date$') AS VARCHAR) FROM ({then})" if dates else then
