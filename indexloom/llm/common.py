@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of one short row per key is broadcast (about 10 MB).
 BROADCAST_ROWS = 50_000
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables not yet deleted: those of the session at first, of each open ``scratch`` after.
+_written: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share; a temporary one only in local mode, where the session names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="indexloom-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="indexloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -40,19 +41,48 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/indexloom-{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
 
 
-def drop_written() -> None:
-    """Delete the tables that ``written`` has left; runs at exit too."""
-    while _written:
-        spark, path = _written.pop()
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         with contextlib.suppress(Exception):  # the session may be gone
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that the yielded function was given.
+
+    What leaves the block must rest on these alone; as each is a finished
+    table, nothing deleted is needed again, executors lost or not.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._written_path)
+        return df
+
+    _written.append([])
+    try:
+        yield keep
+    finally:
+        mine = _written.pop()
+        _written[-1] += [t for t in mine if t[1] in kept]
+        _delete([t for t in mine if t[1] not in kept])
+
+
+def drop_written() -> None:
+    """Delete the tables that ``written`` has left; runs at exit too."""
+    for held in _written:
+        _delete(held)
+        held.clear()
+
+
 atexit.register(drop_written)
 
 
