@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,38 +29,54 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids by the byte-level BPE of a ``tokenizers`` file, special strings taken as ordinary text.
+    """Ids as the ``tokenizers`` file gives them without its special tokens added; then the end id.
 
-    The merges of that file run in tiktoken, several times as fast and with
-    the same ids; texts that its pattern engine gives up on (very long runs
-    of white space) go to ``tokenizers``.
+    The merges of a byte-level BPE that splits texts as ``PATTERN`` does run in
+    tiktoken, several times as fast and with the same ids. To ``tokenizers``
+    go texts that hold one of the file's added tokens, texts that tiktoken's
+    pattern engine gives up on (very long runs of white space), and all texts
+    of a file of any other kind.
     """
 
-    #: Fixed value: how this vocabulary splits texts.
+    #: Fixed value: how a byte-level pre-tokeniser splits texts.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
+        self.fast = self._merges() if self._plain() else None
+
+    def _plain(self) -> bool:
+        """Whether the file is a byte-level BPE as tiktoken has it: no normaliser, the usual split, no added space."""
+        kind = json.loads(self.slow.to_str())
+        split, model = kind["pre_tokenizer"] or {}, kind["model"]
+        bytes_only = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        return bool(bytes_only) and model.get("type") == "BPE" and not odd and kind["normalizer"] is None and kind["truncation"] is None and kind["padding"] is None
+
+    def _merges(self):
+        import tiktoken
+
         # printable bytes stand for themselves, the others for letters from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.slow.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in token)}
-        special = set(self.slow.get_added_tokens_decoder())
-        ranks = {b: i for b, i in ranks.items() if i not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {b: i for b, i in ranks.items() if i not in self.slow.get_added_tokens_decoder()}
+        return tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids(self, text: str) -> list[int]:
+        if self.fast is not None and not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # a panic of the engine is no Exception
+                if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit | MemoryError):
+                    raise
+        return self.slow.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray:
-        try:
-            ids = self.fast.encode_ordinary(text)
-        except BaseException as e:  # a panic of the engine is no Exception
-            if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit | MemoryError):
-                raise
-            ids = self.slow.encode(text, add_special_tokens=False).ids
-        return np.array([*ids, END], dtype="<u4")
+        return np.array([*self._ids(text), END], dtype="<u4")
 
 
 @cache
@@ -125,15 +142,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     A document is its text's ids (null text: none) and an end id, cut into
     full pieces and one rest. Documents fall into groups of about
-    ``group_docs`` by a seeded hash of id and token count, and each group packs
-    its pieces alone, so a group is what one task holds, at any size of input.
-    sequence_id is the group's number times 2^32 plus the bin. Null and
+    ``group_docs`` by a seeded hash of id and place (the row's number as
+    scanned, so that repeated rows fall into different groups), and each group
+    packs its pieces alone, so a group is what one task holds, at any size of
+    input. sequence_id is the group's number times 2^32 plus the bin. Null and
     repeated ids are packed like any; an empty table gives none.
     """
     groups = max(1, -(-docs.count() // group_docs))
     rows = pieces(docs, id_col, text_col, vocabulary, length, with_ids)
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups))
-    rows = rows.withColumn("sequence_id", spread)
+    # a document's pieces follow each other, so its number is that of its first piece
+    first = F.monotonically_increasing_id() - F.floor(F.col("start") / length)
+    rows = rows.withColumn("sequence_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id", first), F.lit(groups)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def fill(group: pa.Table) -> pa.Table:
