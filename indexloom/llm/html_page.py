@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+from xxhash import xxh3_128_hexdigest
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+")
@@ -16,6 +20,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Parts of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math select object canvas audio video".split())
+#: Elements open at a time, as browsers bound them.
+DEPTH = 512
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
@@ -40,14 +46,15 @@ FIRM = frozenset("comment comments commentlist disqus respond reply replies disc
 PRAISE = frozenset("article content post entry main story body text".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     names: str
     parent: int
-    path: str
+    path: str  # a digest of the generalised path, so that deep pages hold no long strings
     out: bool = False  # it or what holds it is not the article's
-    marked: bool = False  # out by the words of its class or id alone
+    own: bool = False  # out by itself: its kind, its role, or the firm words
+    marked: bool = False  # out by the words of its class or id, or as a form; taken back if it wraps the article
     link: bool = False
     score: float = 0.0
     chars: int = 0
@@ -64,112 +71,190 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if text else {}
 
 
-def parse(source: str | None) -> Page:
-    page, stack, at = Page(), [0], 0
-    source = source or ""
-    page.elements.append(Element("html", "", -1, ""))
-
-    def close(upto: int) -> None:
-        for k in stack[upto:]:
-            if page.elements[k].tag in BLOCK:
-                page.runs.append((k, None))
-        del stack[upto:]
-
-    while at < len(source):
-        m = _TOKEN.search(source, at)
-        if m is None:
-            page.runs.append((stack[-1], source[at:]))
-            break
-        if m.start() > at:
-            page.runs.append((stack[-1], source[at : m.start()]))
+def _tag_end(source: str, at: int) -> int:
+    """Place of the ``>`` that ends the tag, those in quoted values passed over; -1 if there is none."""
+    while (m := _STOP.search(source, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while source[before].isspace():
+            before -= 1
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.elements[stack[k]].tag == tag:
-                    close(k)
-                    break
-            continue
-        raw_attributes = m[3] if m[2] else m[6]
-        if tag in RAW:
-            if not raw_attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-            page.runs.append((stack[-1], " "))
-            continue
-        if tag in VOID:
-            page.runs.append((stack[-1], None if tag == "hr" else " " if tag in ("br", "wbr") else ""))
-            continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                over = page.elements[stack[k]].tag
+        if source[before] == "=":  # else no value starts here
+            close = source.find(m[0], at)
+            if close < 0:
+                return -1
+            at = close + 1
+    return -1
+
+
+class _Builder:
+    """The open elements of a page, at most DEPTH: what would stand deeper stands beside the deepest instead."""
+
+    def __init__(self) -> None:
+        self.page = Page([Element("html", "", -1, "")])
+        self.stack = [0]
+        self.open = Counter(["html"])
+
+    def top(self, k: int) -> Element:
+        return self.page.elements[self.stack[k]]
+
+    def text(self, text: str | None) -> None:
+        if text != "":
+            self.page.runs.append((self.stack[-1], text))
+
+    def close(self, upto: int) -> None:
+        for k in reversed(self.stack[upto:]):
+            e = self.page.elements[k]
+            self.open[e.tag] -= 1
+            if e.tag in BLOCK:
+                self.page.runs.append((k, None))
+        del self.stack[upto:]
+
+    def end(self, tag: str) -> None:
+        if self.open[tag]:
+            self.close(next((k for k in range(len(self.stack) - 1, 0, -1) if self.top(k).tag == tag), len(self.stack)))
+
+    def start(self, tag: str, a: dict[str, str]) -> None:
+        if self.open["head"]:  # what may stand in a head never comes here
+            self.end("head")
+        if tag in BLOCK and self.open["p"]:
+            for k in range(len(self.stack) - 1, 0, -1):
+                over = self.top(k).tag
                 if over == "p":
-                    close(k)
+                    self.close(k)
                     break
                 if over in BLOCK or over == "button":
                     break
-        if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                over = page.elements[stack[k]].tag
+        ends, bounds = CLOSES.get(tag, ((), ()))
+        if any(self.open[e] for e in ends):
+            for k in range(len(self.stack) - 1, 0, -1):
+                over = self.top(k).tag
                 if over in bounds:
                     break
                 if over in ends:
-                    close(k)
+                    self.close(k)
                     if over == tag or tag not in ("tr",):
                         break
-        a = _attributes(raw_attributes)
-        _open(page, stack, tag, a)
-    close(1)
-    _unmark(page)
-    _score(page)
-    return page
-
-
-def _open(page: Page, stack: list[int], tag: str, a: dict[str, str]) -> None:
-    above = page.elements[stack[-1]]
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    classes = sorted({_DIGITS.sub("#", c) for c in a.get("class", "").lower().split()})
-    step = tag if tag in ("html", "body") else ".".join([tag, *classes])  # a page's own classes stand on its body
-    e = Element(tag, names, stack[-1], f"{above.path}>{step}" if tag not in ("html", "body") else step)
-    words = set(_WORDS.findall(names))
-    own = tag in OUTSIDE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
-    if tag == "header" and _within(page, stack, "article"):
-        own = False  # an article's own header: only its headings count, see blocks()
-    firm = bool(words & FIRM)
-    e.marked = tag not in ("html", "body", "article", "main") and bool(words & MARKS) and not own and not firm and not above.out
-    e.out = above.out or own or (firm and tag not in ("html", "body")) or e.marked
-    e.link = above.link or tag == "a"
-    page.elements.append(e)
-    stack.append(len(page.elements) - 1)
-    if tag in BLOCK:
-        page.runs.append((stack[-1], None))
-
-
-def _within(page: Page, stack: list[int], tag: str) -> bool:
-    return any(page.elements[k].tag == tag for k in stack)
-
-
-def _unmark(page: Page) -> None:
-    """Take back marks by class of what holds most of the page's text and is also called content or the like."""
-    if not any(e.marked for e in page.elements):
-        return
-    total = [0] * len(page.elements)
+        if len(self.stack) >= DEPTH:
+            self.close(len(self.stack) - 1)
+        self.push(tag, a)
+
+    def push(self, tag: str, a: dict[str, str]) -> None:
+        page, above = self.page, self.page.elements[self.stack[-1]]
+        names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        classes = sorted({_DIGITS.sub("#", c) for c in a.get("class", "").lower().split()})
+        step = tag if tag in ("html", "body") else ".".join([tag, *classes])  # a page's own classes stand on its body
+        e = Element(tag, names, self.stack[-1], xxh3_128_hexdigest(step if tag in ("html", "body") else f"{above.path}>{step}"))
+        words = set(_WORDS.findall(names))
+        whole = tag in ("html", "body")
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
+        e.own = (tag in OUTSIDE and tag != "form") or a.get("role", "").lower() in ROLES or hidden or (not whole and bool(words & FIRM))
+        if tag == "header" and self.open["article"] and not hidden:
+            e.own = False  # an article's own header: only its headings count, see blocks()
+        e.marked = not e.own and (tag == "form" or not whole and tag not in ("article", "main") and bool(words & MARKS))
+        e.link = above.link or tag == "a"
+        page.elements.append(e)
+        self.stack.append(len(page.elements) - 1)
+        self.open[tag] += 1
+        if tag in BLOCK:
+            page.runs.append((self.stack[-1], None))
+
+
+def parse(source: str | None) -> Page:
+    """The page's elements and runs of text, in one pass linear in ``source``, however broken.
+
+    Quoted attribute values may hold ``>``, until a tag turns out not to end
+    that way; from there on the next ``>`` ends a tag.
+    """
+    source, at, held, quotes = source or "", 0, 0, True
+    page = _Builder()
+    last = source.rfind(">")
+    while (lt := source.find("<", at)) >= 0:
+        if source.startswith("<!--", lt):
+            page.text(source[held:lt])
+            close = source.find("-->", lt + 4)
+            at = held = close + 3 if close >= 0 else len(source)
+            continue
+        if lt > last:
+            break
+        if source.startswith(("<!", "<?"), lt):
+            page.text(source[held:lt])
+            at = held = source.find(">", lt) + 1
+            continue
+        m = _TAG.match(source, lt)
+        if m is None:
+            at = lt + 1
+            continue
+        gt = _tag_end(source, m.end()) if quotes else -1
+        if gt < 0:
+            quotes = False
+            gt = source.find(">", m.end())
+            if gt < 0:
+                break
+        page.text(source[held:lt])
+        at = held = gt + 1
+        tag, raw = m[2].lower(), source[m.end() : gt]
+        if m[1]:
+            page.end(tag)
+        elif tag in RAW:
+            if not raw.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(source, at)
+                close = source.find(">", end.end()) if end else -1
+                at = held = close + 1 if close >= 0 else len(source)
+            page.text(" ")
+        elif tag in VOID:
+            page.text(None if tag == "hr" else " " if tag in ("br", "wbr") else "")
+        else:
+            page.start(tag, _attributes(raw))
+    page.text(source[held:])
+    page.close(1)
+    _settle(page.page)
+    _score(page.page)
+    return page.page
+
+
+def _settle(page: Page) -> None:
+    """Decide what is out: what is out by itself, and what is marked unless it wraps the article, with all inside.
+
+    A marked element wraps the article if it holds over half of the text that
+    is not out by itself, no ``article`` or ``main`` stands beside it, and what
+    text is in nothing marked is under a fifth of its own. If all words of its class
+    and id are marks, it must also hold an article, a main or a first heading.
+    One that is also called content or the like need only hold over half.
+    """
+    es = page.elements
+    own, nearest = [False] * len(es), [-1] * len(es)  # nearest: the marked element at or above each
+    for k, e in enumerate(es[1:], 1):
+        own[k] = own[e.parent] or e.own
+        nearest[k] = k if e.marked and not own[k] else nearest[e.parent]
+    if max(nearest) >= 0:
+        _unmark(page, own, nearest)
+    for k, e in enumerate(es):
+        e.out = own[k] or e.marked or (k > 0 and es[e.parent].out)
+
+
+def _unmark(page: Page, own: list[bool], nearest: list[int]) -> None:
+    es = page.elements
+    direct, total, mains, heads = Counter(), [0] * len(es), [0] * len(es), [0] * len(es)
     for k, text in page.runs:
-        if text:
-            total[k] += len(text.strip())
-    for k in range(len(page.elements) - 1, 0, -1):
-        total[page.elements[k].parent] += total[k]
-    free = set()
-    for k, e in enumerate(page.elements):
-        if e.marked and 2 * total[k] > total[0] and set(_WORDS.findall(e.names)) & PRAISE:
-            e.out = e.marked = False
-            free.add(k)
-        elif e.parent in free and e.out and not e.marked and e.tag not in OUTSIDE and not set(_WORDS.findall(e.names)) & (MARKS | FIRM):
-            e.out = False
-            free.add(k)
+        if text and not own[k] and (n := len(text.strip())):
+            total[k] += n
+            direct[nearest[k]] += n
+    for k in range(len(es) - 1, -1, -1):
+        e = es[k]
+        mains[k] += not own[k] and e.tag in ("article", "main")
+        heads[k] += not own[k] and e.tag == "h1"
+        if k:
+            for sums in (total, mains, heads):
+                sums[e.parent] += sums[k]
+    free = direct[-1]
+    for k in sorted({n for n in nearest if n >= 0}):
+        words = set(_WORDS.findall(es[k].names))
+        wraps = mains[k] == mains[0] and 5 * free < total[k] and (mains[k] or heads[k] or not words or bool(words - MARKS))
+        if 2 * total[k] > total[0] and (wraps or words & PRAISE):
+            es[k].marked = False
+            free += direct[k]
 
 
 def _score(page: Page) -> None:
