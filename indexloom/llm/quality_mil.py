@@ -14,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PASSAGE_WORDS = 64
-#: Labelled documents to fit on, and passages of one (evenly spaced) to fit on.
-FIT_DOCS = 4_000
-FIT_PASSAGES = 256
+#: Labelled rows to fit on at most, whole, and characters of them together.
+FIT_DOCS, FIT_CHARS = 4_000, 64_000_000
 HIDDEN, GATE = 16, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 128, 0.01, 1e-4, 5
 #: Bytes of text measured at a time.
@@ -32,7 +31,12 @@ for _c, _bytes in enumerate((b" \t\n\x0b\x0c\r", bytes(range(97, 123)), bytes(ra
     _CLASS[list(_bytes)] = _c
 _CLASS[128:] = 8
 _CLASSES = 9
-FEATURES = _CLASSES + 6
+#: Bins by hash that words are counted in; each has its learned embedding, a row of the encoder.
+WORD_BINS = 64
+_SHAPE = _CLASSES + 6
+FEATURES = _SHAPE + WORD_BINS
+#: Decay of the embeddings of words, so that they count only where the shape of passages leaves something unexplained.
+WORD_DECAY = 1e-2
 _MIX = np.random.default_rng(1).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -87,6 +91,8 @@ def _passages(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, _CLASSES + 3] = words / PASSAGE_WORDS
     out[:, _CLASSES + 4] = np.bincount(passage, letters == 1, n) / words
     out[:, _CLASSES + 5] = np.bincount(passage, letters > 20, n) / words
+    bins = (word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+    out[:, _SHAPE:] = np.bincount(passage * WORD_BINS + bins.astype(np.int64), minlength=n * WORD_BINS).reshape(n, WORD_BINS) / words[:, None]
     return out, part[new]
 
 
@@ -154,6 +160,40 @@ class Model:
         return np.full(len(starts), self.prior) if self.params is None else self.forward(x, starts)["score"]
 
 
+def _decay(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out = {k: np.full_like(x, DECAY) for k, x in p.items()}
+    out["w"][_SHAPE:] = WORD_DECAY
+    return out
+
+
+def gradients(model: Model, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Logistic loss of bags, each times its ``share``, plus decay; and its gradient in each parameter."""
+    p = model.params
+    assert p is not None
+    f = model.forward(x, starts)
+    decay = _decay(p)
+    at = np.clip(f["score"], 1e-12, 1 - 1e-12)
+    loss = -(share * np.where(labels == 1, np.log(at), np.log(1 - at))).sum() + sum((decay[k] * v * v).sum() / 2 for k, v in p.items())
+    g = {k: decay[k] * v for k, v in p.items()}
+    out = (f["score"] - labels) * share
+    g["c"] += f["z"].T @ out
+    g["d"] += out.sum()
+    dz = np.repeat(out[:, None] * p["c"], f["sizes"], axis=0)
+    de = f["weight"][:, None] * dz
+    dot = (dz * f["e"]).sum(1)
+    mean_dot = np.repeat(np.add.reduceat(f["weight"] * dot, starts), f["sizes"])
+    dl = f["weight"] * (dot - mean_dot)
+    gate = dl[:, None] * p["a"]
+    g["a"] += (f["t"] * f["s"]).T @ dl
+    dt, ds = gate * f["s"] * (1 - f["t"] ** 2), gate * f["t"] * f["s"] * (1 - f["s"])
+    g["v"] += f["e"].T @ dt
+    g["u"] += f["e"].T @ ds
+    de = (de + dt @ p["v"].T + ds @ p["u"].T) * (1 - f["e"] ** 2)
+    g["w"] += f["x"].T @ de
+    g["b"] += de.sum(0)
+    return float(loss), g
+
+
 def fit(data: list[np.ndarray], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """Adam on the logistic loss of bags; classes weigh the same. One class or none: the constant share of 1 (0.5 for none)."""
     prior = float(labels.mean()) if len(labels) else 0.5
@@ -173,24 +213,7 @@ def fit(data: list[np.ndarray], labels: np.ndarray, seed: int = SEED, epochs: in
         for at in range(0, len(mixed), BATCH):
             pick = mixed[at : at + BATCH]
             starts = np.cumsum([0, *(len(data[i]) for i in pick[:-1])])
-            f = model.forward(np.concatenate([data[i] for i in pick]).astype(np.float64), starts)
-            g = {k: DECAY * p for k, p in params.items()}
-            out = (f["score"] - labels[pick]) * balance[pick] / len(pick)
-            g["c"] += f["z"].T @ out
-            g["d"] += out.sum()
-            dz = np.repeat(out[:, None] * params["c"], f["sizes"], axis=0)
-            de = f["weight"][:, None] * dz
-            dot = (dz * f["e"]).sum(1)
-            mean_dot = np.repeat(np.add.reduceat(f["weight"] * dot, starts), f["sizes"])
-            dl = f["weight"] * (dot - mean_dot)
-            gate = dl[:, None] * params["a"]
-            g["a"] += (f["t"] * f["s"]).T @ dl
-            dt, ds = gate * f["s"] * (1 - f["t"] ** 2), gate * f["t"] * f["s"] * (1 - f["s"])
-            g["v"] += f["e"].T @ dt
-            g["u"] += f["e"].T @ ds
-            de = (de + dt @ params["v"].T + ds @ params["u"].T) * (1 - f["e"] ** 2)
-            g["w"] += f["x"].T @ de
-            g["b"] += de.sum(0)
+            _, g = gradients(model, np.concatenate([data[i] for i in pick]).astype(np.float64), starts, labels[pick], balance[pick] / len(pick))
             step += 1
             for k, p in params.items():
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -204,26 +227,34 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, seed: int = SEED) -> Model:
-    """Fit on up to ``fit_docs`` labelled rows outside the held-out fold, those first in a seeded hash order of ids.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, seed: int = SEED) -> Model:
+    """Fit on up to ``fit_docs`` labelled rows outside the held-out fold, with ``fit_chars`` characters together, those first in a seeded hash order of ids.
 
     Null labels and ids are left out; an id labelled more than once takes the
-    majority (ties: 1); of rows that repeat an id, each is used.
+    majority (ties: 1); of rows that repeat an id each different text is one
+    row. A row is fitted on whole or not at all, so the driver holds features
+    of at most so many characters.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__label"))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
-    known = known.join(texts.distinct(), "__id", "left_semi")
-    picked = known.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(fit_docs)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("text"))
+    rows = named.select("__id", "__th", F.length("text").cast("long").alias("chars")).distinct().join(known, "__id")
+    order = [F.xxhash64(F.lit(seed), "__id"), F.col("__id"), F.col("__th")]
+    picked = rows.orderBy(*order).limit(fit_docs)
+    upto = F.sum("chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over fit_docs rows at most
+    picked = picked.withColumn("upto", upto).where(F.col("upto") <= fit_chars).select("__id", "__th", "__label")
+    found = named.join(F.broadcast(picked), ["__id", "__th"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out = [(ids[i], found[i], x[np.linspace(0, len(x) - 1, min(len(x), FIT_PASSAGES)).astype(int)].tobytes()) for i, x in bags(batch.column(1).to_pylist())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int32(), pa.binary()))], ["id", "label", "x"])
+            ids, hashes, found = (batch.column(c).to_pylist() for c in (0, 1, 3))
+            out = [(ids[i], hashes[i], found[i], x.tobytes()) for i, x in bags(batch.column(2).to_pylist())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((), (), (), ()), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["id", "th", "label", "x"])
 
-    held = rows.select(F.col("__id").cast("long"), "text", "__label").mapInArrow(measure, "id long, label int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    measured = found.select(F.col("__id").cast("long"), "__th", "text", "__label").mapInArrow(measure, "id long, th long, label int, x binary")
+    once = measured.groupBy("id", "th", "label").agg(F.first("x").alias("x"))  # rows equal in id and text
+    held = once.toArrow().sort_by([("id", "ascending"), ("th", "ascending")])
     data = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in held.column("x").to_pylist()]
     return fit(data, np.array(held.column("label").to_pylist(), dtype=np.int64), seed)
 
