@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_join import CONTAINMENT, NOTICES, PHRASES
+from .license_join import CONTAINMENT, GAP, NOTICES, PARAGRAPH, PHRASES
 from .mixing import MAX_EPOCHS, SEED, WEIGHTS
 from .rule_cascade import RULES
 
@@ -56,9 +56,11 @@ n(notice, label, words) AS (VALUES {notices}),
 e AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d WHERE contains(t, 'license')),
 b AS (SELECT rid, i, label FROM e JOIN p ON w[i + 1 : i + len(phrase)] = phrase),
 bb AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY rid),
-lines AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{token}')) AS has FROM d),
-m AS (SELECT rid, label, len(list_intersect(has, words)) / len(words) AS score FROM lines JOIN n
-      ON len(list_intersect(has, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
+lines AS (SELECT rid, false AS long, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{token}')) AS has FROM d),
+paras AS (SELECT rid, unnest(string_split_regex(t, '{GAP}')) AS p FROM d),
+blocks AS (SELECT * FROM lines UNION ALL SELECT rid, true, list_distinct(regexp_extract_all(p, '{token}')) FROM paras WHERE contains(p, chr(10))),
+m AS (SELECT rid, label, len(list_intersect(has, words)) / len(words) AS score FROM blocks JOIN n
+      ON len(list_intersect(has, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9) AND (NOT long OR len(has) <= {PARAGRAPH} * len(words))),
 mm AS (SELECT rid, list(DISTINCT label) AS found, max(score) AS score FROM m GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
@@ -88,7 +90,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 OP6 = """
 WITH m AS (SELECT conv_id, turn, role, text, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS j FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_messages, '{"messages":[' || string_agg(j, ',' ORDER BY turn, role, text) || ']}' AS j FROM m GROUP BY conv_id)
-SELECT conv_id, n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_orphans, CAST(0 AS BIGINT) AS n_invalid,
+SELECT conv_id, j AS json, n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_orphans, CAST(0 AS BIGINT) AS n_invalid,
        length(j) AS json_chars, md5(j) AS json_md5 FROM c
 """
 

@@ -50,9 +50,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation: counts of messages and calls, and length and md5 of its canonical JSON."""
+    """Per conversation: its canonical JSON, counts of messages and calls, and the JSON's length and md5."""
     out = chat_tools.linked(table(spark, sf_dir, "conversations"), TOOLS)
-    return out.select("conv_id", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", F.length("json").cast("long").alias("json_chars"), F.md5("json").alias("json_md5"))
+    return out.select("conv_id", "json", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", F.length("json").cast("long").alias("json_chars"), F.md5("json").alias("json_md5"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
