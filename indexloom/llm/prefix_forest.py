@@ -68,15 +68,17 @@ def _valid(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.n
     return held[good], x[good]
 
 
-_ROWS = "ids binary, vectors binary, strings binary"
+_ROWS = "ids binary, vectors binary, strings binary, places binary"
 
 
-def _packed(ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    cells = [pa.array([c.tobytes()], pa.binary()) for c in (ids, x, codes)]
-    return pa.record_batch(cells, ["ids", "vectors", "strings"])
+def _packed(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, ordered: bool) -> pa.RecordBatch:
+    """A block; ``places`` has each tree's rows in the order of their strings, for blocks that are searched."""
+    places = np.argsort(codes, axis=0, kind="stable").astype(np.uint16) if ordered else np.zeros(0, np.uint16)
+    cells = [pa.array([c.tobytes()], pa.binary()) for c in (ids, x, codes, places)]
+    return pa.record_batch(cells, ["ids", "vectors", "strings", "places"])
 
 
-def _blocks(rows: DataFrame, dim: int, centre: np.ndarray, size: int, seed: int) -> DataFrame:
+def _blocks(rows: DataFrame, dim: int, centre: np.ndarray, size: int, seed: int, ordered: bool = False) -> DataFrame:
     """Rows of ``(vec_id, vector)`` as blocks of up to ``size``, with their strings."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,21 +87,22 @@ def _blocks(rows: DataFrame, dim: int, centre: np.ndarray, size: int, seed: int)
             more = _valid(batch.column(0), batch.column(1), dim)
             ids, x = np.concatenate([ids, more[0]]), np.concatenate([x, more[1]])
             while len(ids) >= size:
-                yield _packed(ids[:size], x[:size], strings(x[:size], centre, seed))
+                yield _packed(ids[:size], x[:size], strings(x[:size], centre, seed), ordered)
                 ids, x = ids[size:], x[size:]
         if len(ids):
-            yield _packed(ids, x, strings(x, centre, seed))
+            yield _packed(ids, x, strings(x, centre, seed), ordered)
 
     return rows.mapInArrow(of, _ROWS)
 
 
 class _Block:
-    def __init__(self, ids: bytes, vectors: bytes, codes: bytes, dim: int) -> None:
+    def __init__(self, ids: bytes, vectors: bytes, codes: bytes, dim: int, places: bytes = b"") -> None:
         self.ids = np.frombuffer(ids, np.int64)
         self.x = np.frombuffer(vectors, np.float64).reshape(-1, dim)
         self.codes = np.frombuffer(codes, np.uint32).reshape(-1, TREES)
-        self.order = np.argsort(self.codes, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.codes, self.order, 0)
+        if places:
+            self.order = np.frombuffer(places, np.uint16).reshape(-1, TREES)
+            self.sorted = np.take_along_axis(self.codes, self.order.astype(np.int64), 0)
 
     def spans(self, codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query and tree the part of its sorted array that shares the first ``level`` symbols."""
@@ -128,8 +131,8 @@ def nearest(query: int, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
 def _met(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Each query block beside each index block: an equality join on the index block's number."""
     n = index.count()
-    numbered = index.select(F.col("block"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"), F.col("strings").alias("r_strings"))
-    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
+    numbered = index.select(F.col("block"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"), F.col("strings").alias("r_strings"), F.col("places").alias("r_places"))
+    spread = queries.drop("places").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
     return spread.join(numbered, "block").drop("block")
 
 
@@ -161,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     fit = rows.where(F.size("v") == dim).orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(FIT_ROWS).toArrow()
     sample = _valid(fit.column(0).combine_chunks(), fit.column(1).combine_chunks(), dim)[1]
     centre = sample.mean(0) if len(sample) else np.zeros(dim)
-    index = _numbered(_blocks(rows, dim, centre, BLOCK_ROWS, seed), "index")
+    index = _numbered(_blocks(rows, dim, centre, BLOCK_ROWS, seed, ordered=True), "index")
     asked = written(_blocks(asked.dropDuplicates(), dim, centre, BLOCK_QUERIES, seed), "queries")
     picked = queries.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(FIT_QUERIES)
     tried = np.array([r["id"] for r in picked.collect()], np.int64)
@@ -169,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                block = _Block(r["r_ids"], r["r_vectors"], r["r_strings"], dim)
+                block = _Block(r["r_ids"], r["r_vectors"], r["r_strings"], dim, r["r_places"])
                 q = _Block(r["ids"], r["vectors"], r["strings"], dim)
                 n = np.stack([np.subtract(*block.spans(q.codes, level)[::-1]).sum(1) for level in range(SYMBOLS + 1)], 1)
                 near: list[list] = [[] for _ in q.ids]
@@ -208,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                block = _Block(r["r_ids"], r["r_vectors"], r["r_strings"], dim)
+                block = _Block(r["r_ids"], r["r_vectors"], r["r_strings"], dim, r["r_places"])
                 q = _Block(r["ids"], r["vectors"], r["strings"], dim)
                 at = np.array(r["at"])
                 found: list[tuple] = []
