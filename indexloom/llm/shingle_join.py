@@ -1,12 +1,12 @@
-"""Near-duplicate texts by an exact join of their shingle sets.
+"""Similar texts by an exact join of their shingle sets.
 
 A text is the set of its shingles' hashes, in one order for all texts: those
-that a sample of the texts has more often come later. Two sets of n and m
-shingles with a Jaccard similarity of t share at least t of the larger, so
-their prefixes, of n - ceil(t n) + 1 shingles, share one; at the first that they
-share, enough must be left in both. Texts meet by the shingles of their
-prefixes, and every pair that meets is decided by its sets: no pair of the
-similarity is missed, and none below it is linked.
+that more texts have come later. Two sets of n and m shingles with a Jaccard
+similarity of t share at least t of the larger, so their prefixes, of
+n - ceil(t n) + l shingles, share l of them; at some that they share, enough must
+be left in both. Texts meet by the shingles of their prefixes, and every pair
+that shares so many is decided by its sets: no pair of the similarity is
+missed, and none below it is linked.
 """
 
 from __future__ import annotations
@@ -16,103 +16,176 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import small, written
-from .components import components
-from .simhash_kernel import shingle_hashes
 
-#: Texts from which the order of shingles is taken, and the shingles of theirs that it ranks; any order gives the same links.
-SAMPLE, RANKED = 8_192, 200_000
+#: Shingles counted at a time; of a block's, those that it has more than once are counted over all blocks.
+BLOCK = 1 << 20
+#: Shingles, the most frequent ones, that the order ranks; any order gives the same links.
+RANKED = 200_000
+#: Shingles of their prefixes that two sets must share (or t of the smaller set, if that is less).
+SHARED = 12
+#: Rows up to which a table of two or three numbers a row is broadcast (under 20 MB).
+SLIM_ROWS = 500_000
+_ADD, _MULTIPLY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct hashes of the text's shingles, sorted."""
-    return np.unique(np.concatenate([*shingle_hashes(text, width), np.zeros(0, np.uint64)]))
+    """The distinct hashes of the text's shingles, sorted; one of all words for fewer words than ``width``, none for none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
+    width = min(width, n)
+    h = np.full(n - width + 1, width, np.uint64)
+    for k in range(width):
+        h = (h + w[k : n - width + 1 + k]) * _MULTIPLY + _ADD
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+def prefix_length(n: int, similarity: float, shared: int = SHARED) -> int:
+    least = math.ceil(similarity * n - 1e-9)
+    return n - least + min(shared, least)
 
 
-def text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.col(text_col).cast("string"))
 
+def frequent_shingles(docs: DataFrame, text_col: str, width: int, ranked: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
+    """The ``ranked`` most frequent shingles of all ``docs``, sorted, and how many texts are known to have each.
 
-def common_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about SAMPLE texts have, sorted, and how many of those texts each has."""
-    part = min(1.0, SAMPLE / max(1, docs.count()))
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1_000_000)) < int(part * 1_000_000)).distinct()
+    Counted over all texts, but in each block only shingles that stand there
+    more than once, so that what is shuffled is a fraction of the input.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["s", "n"])
+
         for batch in batches:
             for t in batch.column(0):
-                yield pa.record_batch([pa.array(shingle_set(t.as_py(), width).view(np.int64))], ["s"])
-
-    counts = texts.mapInArrow(of, "s long").groupBy("s").count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "s").limit(RANKED).toArrow()
+                held.append(shingle_set(t.as_py(), width))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(of, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "s").limit(ranked).toArrow()
     s, n = (top.column(c).combine_chunks().to_numpy() for c in (0, 1))
     s = s.view(np.uint64)
     by = np.argsort(s)
     return s[by], n[by]
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """``(doc_id, th, node, n, mid, prefix)`` for each row: node names a shingle set, n is its size, mid how common its shingles are."""
-    known, often = common_shingles(docs, text_col, width)
+def prefixes(docs: DataFrame, row: list[Column], text_col: str, width: int, similarity: float) -> DataFrame:
+    """Columns ``row`` with (node, fp, n, mid, prefix) of each text.
+
+    node names a shingle set, fp is its 64-bit SimHash fingerprint, n its
+    size, mid how frequent its shingles are, prefix those by which it is met.
+    """
+    known, often = frequent_shingles(docs, text_col, width)
+    rows = docs.select(*row, F.col(text_col).cast("string").alias("__text"))
+    own, names = len(row), [*rows.columns[: len(row)], "node", "fp", "n", "mid", "prefix"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, mid, prefix = [], [], [], []
-            for t in batch.column(2):
+            node, fp, size, mid, prefix = [], [], [], [], []
+            for t in batch.column(own):
                 s = shingle_set(t.as_py(), width)
-                node.append(np.uint64(xxh64_intdigest(s.tobytes())).view(np.int64))
+                node.append(xxh64_intdigest(s.tobytes()))
+                fp.append(_fingerprint(s))
                 count = np.zeros(len(s), np.int64)
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     count = np.where(known[at] == s, often[at], 0)
                 size.append(len(s))
                 mid.append(float(count.mean()) if len(s) else 0.0)
-                prefix.append(s[np.lexsort((s, count))[: prefix_length(len(s), similarity)]].tobytes())
-            columns = [*batch.columns[:2], pa.array(np.array(node, np.int64)), pa.array(size, pa.int32()), pa.array(mid, pa.float64()), pa.array(prefix, pa.binary())]
-            yield pa.record_batch(columns, ["doc_id", "th", "node", "n", "mid", "prefix"])
+                # s is sorted, so a stable sort keeps equal counts in the order of hashes
+                prefix.append(s[np.argsort(count, kind="stable")[: prefix_length(len(s), similarity)]].view(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
+            cells = (np.array(node, np.uint64).view(np.int64), np.array(fp, np.uint64).view(np.int64), size, mid, prefix)
+            yield pa.record_batch([*batch.columns[:own], *(pa.array(c, k) for c, k in zip(cells, kinds))], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, th long, node long, n int, mid double, prefix binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:own])
+    return rows.mapInArrow(of, f"{schema}, node long, fp long, n int, mid double, prefix array<long>")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """``(key, node, n, mid, at)`` for each shingle of each prefix, at its place there."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(0, batch.num_rows, 256):
-                node, n, mid, prefix = (batch.column(c).slice(r, 256) for c in range(4))
-                held = [np.frombuffer(p, np.int64) for p in prefix.to_pylist()]
-                times = [len(h) for h in held]
-                if not sum(times):
-                    continue
-                cells = [np.concatenate(held), *(np.repeat(c.to_numpy(), times) for c in (node, n, mid)), np.concatenate([np.arange(k, dtype=np.int32) for k in times])]
-                yield pa.record_batch([pa.array(c) for c in cells], ["key", "node", "n", "mid", "at"])
-
-    return nodes.select("node", "n", "mid", "prefix").mapInArrow(of, "key long, node long, n int, mid double, at int")
+def _fingerprint(s: np.ndarray) -> int:
+    """SimHash of a shingle set: a bit is 1 if it is set in over half the hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        votes += np.unpackbits(s[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(s)).view(np.uint64)[0]) if len(s) else 0
 
 
 def _possible(n: Column, at: Column, m: Column, there: Column, similarity: float) -> Column:
     """Whether sets of n and m shingles that first share one at these places can be that similar."""
-    room = 1 + F.least(n - at, m - there) - 1
+    room = F.least(n - at, m - there)
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (room >= similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose shingle sets are that similar."""
+def met(nodes: DataFrame) -> DataFrame:
+    """``(key, size, node, at, n, mid)`` for each shingle that the prefixes of several ``nodes`` hold, a row for each of these; written.
+
+    Counted first, so that a frequent shingle is a row a task; only what is
+    met is then shuffled on, and gets the rest of its columns after.
+    """
+    keys = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
+    held = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+    several = written(keys.join(small(held, held.count(), SLIM_ROWS), "key"), "several")
+    return written(several.join(nodes.select("node", "n", "mid"), "node").select("key", "size", "node", "at", "n", "mid"), "met")
+
+
+def heads(seen: DataFrame) -> DataFrame:
+    """``(a, b)``: each text with one of those that have the most frequent shingles under a shingle it has, that which it meets so most often; of a group of copies, mostly what they are copies of."""
+    first = written(seen.groupBy("key").agg(F.max(F.struct("mid", "node")).alias("head")), "heads")
+    c = F.col
+    pairs = seen.select("key", "node").join(small(first, first.count()), "key").where(c("head.node") != c("node"))
+    often = pairs.groupBy(c("node").alias("a"), c("head.node").alias("b")).agg(F.count("*").alias("n"))
+    return often.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", c("best.b").alias("b"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def across(seen: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of all texts of different ``groups (node, root)`` that share shingles enough in their prefixes, however large the buckets."""
+    c = F.col
+    rest = seen.select("key", "node", "n", "at").join(groups, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("g"))
+    both = (c("x.key") == c("y.key")) & (c("x.node") > c("y.node")) & (c("x.g") != c("y.g")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+    pairs = rest.alias("x").join(rest.alias("y"), both)
+    open_ = _possible(c("x.n"), c("x.at"), c("y.n"), c("y.at"), similarity)
+    shared = pairs.groupBy(c("x.node").alias("a"), c("y.node").alias("b"), F.least("x.n", "y.n").alias("n")).agg(F.count("*").alias("shared"), F.bool_or(open_).alias("open"))
+    need = F.least(F.lit(SHARED), F.ceil(similarity * c("n") - 1e-9))
+    return shared.where(c("open") & (c("shared") >= need)).select("a", "b")
+
+
+def sets(docs: DataFrame, names: DataFrame, row: dict[str, Column], text_col: str, width: int) -> DataFrame:
+    """``(node, s)``: the shingle sets of ``names (node, *row, __times)``, each from a row of ``docs`` with these values, of which there are so many; written."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(held, pa.binary())], ["node", "s"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                held = [shingle_set(t.as_py(), width).tobytes() for t in some.column(1)]
+                yield pa.record_batch([some.column(0), pa.array(held, pa.binary())], ["node", "s"])
+
+    texts = docs.select(*(c.alias(k) for k, c in row.items()), F.col(text_col).cast("string").alias("__text"))
+    found = texts.join(small(names, names.count(), SLIM_ROWS), list(row)).select("node", "__text", "__times")
+    once = found.where("__times = 1").drop("__times")
+    if not names.where("__times > 1").isEmpty():  # rows equal in all columns
+        once = once.unionByName(found.where("__times > 1").drop("__times").dropDuplicates(["node"]))
+    return written(once.mapInArrow(of, "node long, s binary"), "sets")
+
+
+def decided(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose shingle sets, in ``held (node, s)``, are that similar; written."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,34 +196,10 @@ def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str,
                 keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs.distinct(), "met")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    names = written(nodes.select("node", "th").join(ends, "node", "left_semi"), "ends")
-    texts = docs.select(text_hash(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).join(small(names, names.count()), "th")
-    held = written(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, s binary"), "sets")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = written(pairs.distinct(), "pairs")
+    both = pairs
+    for end in ("b", "a"):  # only the sets that a side needs are shuffled
+        ends = written(pairs.select(F.col(end).alias("node")).distinct(), "ends")
+        needed = held.join(small(ends, ends.count(), SLIM_ROWS), "node", "left_semi")
+        both = both.join(needed.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
     return written(both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"), "alike")
-
-
-def linked(nodes: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of those ``nodes (node, th, n, mid, prefix)`` that are linked to others.
-
-    First each text meets, under each of its shingles, that text of the bucket
-    whose shingles are the most common: of a group of copies, mostly what they
-    are copies of. What that links is one, so that then only texts of
-    different groups meet, all of them, however large the bucket.
-    """
-    order, all_ = Window.partitionBy("key").orderBy(F.desc("mid"), "node"), Window.partitionBy("key")
-    head = F.first(F.struct("node", "n", "at")).over(order)
-    seen = _keys(nodes).select("key", "node", "n", "at", F.count("*").over(all_).alias("size"), head.alias("head"))
-    seen = written(seen.where("size > 1"), "seen")
-    c = F.col
-    heads = seen.where((c("head.node") != c("node")) & _possible(c("n"), c("at"), c("head.n"), c("head.at"), similarity))
-    first = decided(heads.select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")), docs, nodes, text_col, width, similarity)
-    groups = components(first)
-    rest = seen.where((c("size") > 2) & (c("head.node") != c("node"))).select("key", "node", "n", "at")
-    rest = rest.join(groups, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("g"))
-    both = (c("x.key") == c("y.key")) & (c("x.node") > c("y.node")) & (c("x.g") != c("y.g"))
-    met = rest.alias("x").join(rest.alias("y"), both & _possible(c("x.n"), c("x.at"), c("y.n"), c("y.at"), similarity))
-    second = decided(met.select(c("x.node").alias("a"), c("y.node").alias("b")), docs, nodes, text_col, width, similarity)
-    return components(first.unionByName(second))

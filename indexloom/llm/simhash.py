@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import scratch, small, written
 from .components import components
 from .simhash_kernel import fingerprint
 
@@ -128,8 +128,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _named(rows: DataFrame, distance: int, paired: int) -> DataFrame:
     """``(fp, component_id)``, a row each; written, so that what joins it by fp meets two plain shuffles and AQE can split hot ones."""
-    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(first.select("fp"), distance, paired)).withColumnRenamed("node", "fp")
-    least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    of_linked = roots.join(least, "root").select("fp", "least")
-    return written(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
+    with scratch() as keep:
+        first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        roots = components(links(first.select("fp"), distance, paired)).withColumnRenamed("node", "fp")
+        least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
+        of_linked = roots.join(least, "root").select("fp", "least")
+        return keep(written(first.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named"))
