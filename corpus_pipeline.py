@@ -1,48 +1,5 @@
-"""A corpus from raw documents to packed sequences; each stage's result is written and read again as the next one's documents."""
+"""The corpus pipeline: its stages, what runs them all, and the SQL they are held against (none)."""
 
-from __future__ import annotations
+from indexloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from indexloom.llm import line_windows, mixing, packing, quality_mil, simhash_wide
-from indexloom.llm.common import table, written
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1."""
-    return quality_mil.accepted(docs, table(spark, sf_dir, "labels"))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without later occurrences of three-line windows."""
-    out = line_windows.dedup_lines(docs)
-    changed = F.size("removed") > 0
-    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).withColumn("text", F.col("kept_text")).select(docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
-    return simhash_wide.one_of_each(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
-    return mixing.mix(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("mixing sources", mix), ("packing", pack)]
-#: The classifier, the fingerprints and the token ids are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
