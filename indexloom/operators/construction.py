@@ -259,3 +259,14 @@ def constraint_report(df: DataFrame, coefficients: DataFrame, bounds: DataFrame,
     return d.withColumn("status", status)
 
 
+
+
+def bounds(df: DataFrame, limits: Limits) -> DataFrame:
+    """``df`` with the ``lower`` and ``upper`` bound that ``limits`` give each weight."""
+    upper = [F.lit(float(limits.maximum))]
+    if limits.capacity is not None:
+        upper.append(limits.capacity * F.col("benchmark_weight"))
+    if limits.liquid:
+        upper.append(F.col(limits.liquid) * limits.participation / limits.portfolio_value)
+    high = F.least(*upper) if len(upper) > 1 else upper[0]
+    return df.withColumns({"lower": F.least(F.lit(float(limits.minimum)), high), "upper": high})

@@ -141,3 +141,17 @@ def redact(df: DataFrame, names: str = r"(?i)(password|secret|token|api_?key|cre
 
 def non_finite(df: DataFrame, columns: Sequence[str]) -> int:
     return df.where(~sum((finite(c).cast("int") for c in columns), F.lit(0)).eqNullSafe(len(columns))).count()
+
+
+#: Names under which tables carry one-way turnover, first known first.
+TURNOVER_NAMES = ("one_way_turnover", "index_turnover", "turnover")
+
+
+def carried_turnover(df: DataFrame, names: Sequence[str] = TURNOVER_NAMES, by: Sequence[str] = ("effective_date",), tolerance: float = 1e-12) -> DataFrame:
+    """``(<by>, turnover)`` from the first of ``names`` that is not null; a hair below 0 is 0, a negative one an error when it is read."""
+    known = [F.col(n) for n in names if n in df.columns]
+    if not known:
+        raise ValueError(f"no turnover column; known names: {list(names)}")
+    t = F.coalesce(*known).cast("double")
+    bad = F.raise_error(F.lit("negative turnover")).cast("double")
+    return df.select(*by, F.when(t < -tolerance, bad).otherwise(F.greatest(t, F.lit(0.0))).alias("turnover"))

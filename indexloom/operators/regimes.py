@@ -5,12 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.columns import YEAR_DAYS, annualised_return, annualised_volatility, compound, normal_cdf
+from ..functions.columns import YEAR_DAYS, annualised_return, annualised_volatility, chi_square_tail, compound, normal_cdf
 
 
 def long_returns(df: DataFrame, columns: Sequence[str], date: str = "business_date") -> DataFrame:
@@ -45,38 +43,6 @@ def transitions(regimes: DataFrame) -> DataFrame:
     return full.select("from_regime", "to_regime", "transitions", F.when(total > 0, F.col("transitions") / total).otherwise(0.0).alias("probability"))
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """Upper tail of the chi-square distribution, by its series or continued fraction."""
-    a, x = df / 2, x / 2
-    if x <= 0:
-        return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 10_000):
-            term *= x / (a + n)
-            total += term
-            if term < total * 1e-16:
-                break
-        return 1 - total * scale
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for n in range(1, 10_000):
-        an = -n * (n - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return scale * h
-
-
-@F.pandas_udf(DoubleType())
-def _chi_square(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_tail(a, int(b)) for a, b in zip(x, df)])
-
-
 def _ranked(d: DataFrame, by: Sequence[str]) -> DataFrame:
     """Average ranks of ``return`` within ``by``, and the sum of t^3 - t over its ties."""
     w = Window.partitionBy(*by).orderBy("return")
@@ -92,9 +58,9 @@ def distribution_tests(returns: DataFrame, regimes: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
     k = k.select("series", F.lit("kruskal_wallis").alias("test"), F.lit(None).cast("string").alias("regime_a"), F.lit(None).cast("string").alias("regime_b"), h.alias("statistic"), (F.col("k") - 1).alias("df"))
-    k = k.withColumn("p_value", _chi_square("statistic", "df")).drop("df")
+    k = k.withColumn("p_value", chi_square_tail("statistic", "df")).drop("df")
     pairs = d.select("regime").distinct().alias("x").join(d.select("regime").distinct().alias("y"), F.col("x.regime") < F.col("y.regime")).select(F.col("x.regime").alias("regime_a"), F.col("y.regime").alias("regime_b"))
-    two = d.join(F.broadcast(pairs), F.col("regime").isin(F.col("regime_a"), F.col("regime_b")))
+    two = d.join(pairs.select("regime_a", "regime_b", F.explode(F.array("regime_a", "regime_b")).alias("regime")), "regime")
     by = ["series", "regime_a", "regime_b"]
     is_a = F.col("regime") == F.col("regime_a")
     m = _ranked(two, by).groupBy(*by).agg(F.count_if(is_a).cast("double").alias("na"), F.count_if(~is_a).cast("double").alias("nb"), F.sum(F.when(is_a, F.col("__rank"))).alias("ra"), F.sum("__ties").alias("ties"))

@@ -163,3 +163,57 @@ def explain_tilts(reviews: DataFrame, tilts: Sequence[str], by: Sequence[str] =
     out = d.withColumn("residual", last).select(*by, "instrument_id", "residual", F.explode(steps).alias("s")).select(*by, "instrument_id", "s.*", "residual")
     change = F.col("resulting_weight") - F.col("previous_weight")
     return out.withColumn("weight_change", change).withColumn("one_way_contribution", 0.5 * F.abs(change))
+
+
+def frames(reviews: DataFrame) -> DataFrame:
+    """Stacked review tables in one form: dates as dates, ids as text without space around, no row twice."""
+    d = reviews.withColumns({REVIEW: F.col(REVIEW).cast("date"), "instrument_id": F.trim(F.col("instrument_id").cast("string"))})
+    twice = F.count("*").over(Window.partitionBy(REVIEW, "instrument_id")) > 1
+    return d.withColumn("instrument_id", F.when(twice, F.raise_error(F.lit("a review has an instrument twice")).cast("string")).otherwise(F.col("instrument_id")))
+
+
+def normalised_weights(reviews: DataFrame, column: str = "index_weight") -> DataFrame:
+    """``(effective_date, instrument_id, weight)`` of what has weight; a null or negative one is an error when it is read."""
+    w = F.col(column).cast("double")
+    bad = F.raise_error(F.concat(F.lit("weight of "), F.col("instrument_id"))).cast("double")
+    return frames(reviews).select(REVIEW, "instrument_id", F.when(w.isNull() | F.isnan(w) | (w < 0), bad).otherwise(w).alias("weight")).where("weight > 0")
+
+
+def with_inputs(reviews: DataFrame, inputs: DataFrame, values: Sequence[str], column: str = "index_weight") -> DataFrame:
+    """Each held name of each review with its row of explicit research inputs ``(effective_date, instrument_id, *values)``.
+
+    One to one: a held name without a row, a row twice, or a null value is an
+    error when it is read; rows of names that are not held are left out.
+    """
+    n = F.count("*").over(Window.partitionBy(REVIEW, "instrument_id"))
+    right = inputs.select(REVIEW, "instrument_id", *values).withColumn("__n", n)
+    d = normalised_weights(reviews, column).join(right, [REVIEW, "instrument_id"], "left")
+    gone = F.col("__n").isNull()
+    for c in values:
+        gone = gone | F.col(c).isNull()
+    said = F.when(F.col("__n") > 1, F.raise_error(F.lit("inputs repeat a name")).cast("double")).when(gone, F.raise_error(F.concat(F.lit("no input for "), F.col("instrument_id"))).cast("double"))
+    return d.withColumn("weight", F.coalesce(said, F.col("weight"))).drop("__n")
+
+
+def nested_rows(value, keys: Sequence[str], at: str = "") -> list[dict]:
+    """Rows of tables found anywhere in nested diagnostics under one of ``keys``: mappings and lists are searched, each row names its place."""
+    found: list[dict] = []
+    if isinstance(value, dict):
+        for k, v in value.items():
+            here = f"{at}.{k}" if at else str(k)
+            if k in keys and isinstance(v, list) and all(isinstance(r, dict) for r in v):
+                found += [{"path": here, **r} for r in v]
+            else:
+                found += nested_rows(v, keys, here)
+    elif isinstance(value, list | tuple):
+        for i, v in enumerate(value):
+            found += nested_rows(v, keys, f"{at}[{i}]")
+    return found
+
+
+def disagreement(a: DataFrame, b: DataFrame, column: str = "index_weight", tolerance: float = TOLERANCE) -> DataFrame:
+    """``(effective_date, different)``: names whose weights differ between two tables of one run, or that one of them lacks."""
+    left, right = (d.select(REVIEW, "instrument_id", F.col(column).alias(name)) for d, name in ((a, "__a"), (b, "__b")))
+    d = left.join(right, [REVIEW, "instrument_id"], "full")
+    other = F.abs(F.coalesce("__a", F.lit(-1.0)) - F.coalesce("__b", F.lit(-1.0))) > tolerance
+    return d.groupBy(REVIEW).agg(F.count_if(other).alias("different"))

@@ -80,32 +80,45 @@ def evaluate(df: DataFrame, scenarios: Sequence[Scenario], evaluator: Callable[[
     return out
 
 
+def _uniform(seed: int, *parts: Column | str) -> Column:
+    """A number in (0, 1) that a row's key alone decides: 52 bits of an MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def noisy(df: DataFrame, columns: Sequence[str], scale: float, seed: int, keys: Sequence[str] = ("instrument_id",), normal: bool = True, relative: bool = False) -> DataFrame:
     """Columns with seeded noise that depends on a row's key alone: the same however rows are partitioned or recomputed."""
     for c in columns:
-        u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.lit(c), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52) for k in (0, 1)]
+        u = [_uniform(seed, F.lit(str(k)), F.lit(c), *keys) for k in (0, 1)]
         z = F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * F.pi() * u[1]) if normal else 2 * u[0] - 1
         df = df.withColumn(c, F.col(c) * (1 + scale * z) if relative else F.col(c) + scale * z)
     return df
 
 
+#: Bins by key hash in which rows are numbered.
+BINS = 4096
+
+
+def drawn(df: DataFrame, seed: int, size: int | None = None, keys: Sequence[str] = ("instrument_id",)) -> DataFrame:
+    """Exactly ``size`` rows (by default as many as there are) with replacement, each with its number ``draw``.
+
+    Each draw takes a place from a hash of its number; rows have places by bins
+    of their key's hash, so no window holds more than a bin. Rows that repeat
+    a key are told apart in an order that is not defined. None of an empty table.
+    """
+    d = df.withColumn("__bin", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(BINS)))
+    sizes = d.groupBy("__bin").agg(F.count("*").alias("__n"))  # BINS rows at most
+    sizes = sizes.withColumn("__first", F.sum("__n").over(Window.orderBy("__bin")) - F.col("__n"))
+    rows = d.withColumn("__at", F.row_number().over(Window.partitionBy("__bin").orderBy(*keys)) - 1).join(F.broadcast(sizes), "__bin")
+    rows = rows.withColumn("__p", F.col("__first") + F.col("__at")).drop("__bin", "__n", "__first", "__at")
+    n = df.count()
+    draws = df.sparkSession.range((n if size is None else size) if n else 0).withColumnRenamed("id", "draw")
+    return draws.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(max(1, n)))).join(rows, "__p").drop("__p")
+
+
 def bootstrap(df: DataFrame, seed: int, keys: Sequence[str] = ("instrument_id",)) -> DataFrame:
-    """Rows with replacement: each comes a Poisson(1) number of times by its key's hash, so no row needs a global number."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    times, below, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(12):
-        below += p
-        times = F.when(u >= below, k + 1).otherwise(times)
-        p /= k + 1
-    return df.withColumn("__n", times).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-
-
-def drawn(df: DataFrame, seed: int, size: int, keys: Sequence[str] = ("instrument_id",)) -> DataFrame:
-    """Exactly ``size`` rows with replacement: each draw takes the row at its place in key order, wherever that lies."""
-    rows = df.withColumn("__p", F.row_number().over(Window.orderBy(*keys)) - 1)  # a cross-section
-    n = F.broadcast(df.agg(F.count("*").alias("__n")))
-    draws = df.sparkSession.range(size).join(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("__n")).alias("__p"))
-    return draws.join(rows, "__p").drop("__p")
+    """As many rows as there are, drawn with replacement."""
+    return drawn(df, seed, None, keys)
 
 
 @dataclass(frozen=True)

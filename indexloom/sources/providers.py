@@ -43,6 +43,10 @@ class ThirdPartyProvider(Protocol):
     def load_third_party_data(self, data_type: str, instruments: DataFrame, fields: Iterable[str], reference_date: str, parameters: dict | None = None) -> DataFrame: ...
 
 
+class HistoryService(Protocol):
+    def load_constituent_history(self, universe_id: str, start: str, end: str, **parameters: Any) -> DataFrame: ...
+
+
 class SnapshotAware(Protocol):
     def describe_snapshot(self, capability: str, request: dict) -> dict: ...
 
@@ -103,8 +107,17 @@ class TableProvider:
         t = self._table("membership").where(F.col("index_id") == index_id)
         return t.where(F.col("business_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))) if "business_date" in t.columns else t
 
+    def load_constituent_history(self, universe_id: str, start: str, end: str, **parameters: Any) -> DataFrame:
+        """Constituents of all reviews whose effective date lies in the range."""
+        t = self._table("universe").where(F.col("universe_id") == universe_id)
+        return t.where(F.col("effective_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
     def load_reference_data(self, instruments: DataFrame, reference_date: str, fields: Iterable[str], **parameters: Any) -> DataFrame:
-        return of_instruments(self._table("reference_data").select("instrument_id", *fields), instruments)
+        """Facts as of ``reference_date``: of a table with an ``as_of`` date the latest row of each instrument up to it."""
+        t = self._table("reference_data")
+        if "as_of" in t.columns:
+            t = t.where(F.col("as_of") <= F.lit(reference_date).cast("date")).groupBy("instrument_id").agg(F.max_by(F.struct(*fields), "as_of").alias("__f")).select("instrument_id", "__f.*")
+        return of_instruments(t.select("instrument_id", *fields), instruments)
 
     def load_third_party_data(self, data_type: str, instruments: DataFrame, fields: Iterable[str], reference_date: str, parameters: dict | None = None) -> DataFrame:
         t = self._table("third_party").where(F.col("data_type") == data_type)
