@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from enum import StrEnum
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -104,17 +104,20 @@ def carried(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     return d.withColumn("market_cap", F.last("market_cap", True).over(upto))
 
 
-def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing: Timing = Timing.NEXT, drift: Drift = Drift.PRICE, gaps: Gaps = Gaps.REPORT) -> DataFrame:
+def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing: Timing = Timing.NEXT, drift: Drift = Drift.PRICE, gaps: Gaps = Gaps.REPORT, after=None) -> DataFrame:
     """Each instrument a portfolio holds on each date, with its weight mass before and after the date's return.
 
     A held instrument without an observation on a date it is held has null
     returns there, which ``checked`` reports, or stands still there if ``gaps``
-    are carried (see ``carried``).
+    are carried (see ``carried``). ``after``: only dates after this one are
+    held; what ``panel`` has before, such as a cap, is looked back at.
     """
+    calendar = panel.select("business_date").distinct()
     if gaps == Gaps.CARRY:
-        panel = carried(panel, panel.select("business_date").distinct())
-    applied = applications(weights, panel, timing)
-    days = segments(panel, applied, phase)
+        panel = carried(panel, calendar)
+    calendar = calendar if after is None else calendar.where(F.col("business_date") > F.lit(after).cast("date"))
+    applied = applications(weights, calendar, timing)
+    days = segments(calendar, applied, phase)
     targets = normalised(weights).join(F.broadcast(applied), "effective_date").withColumnRenamed("applied_date", "segment")
     spine = targets.join(F.broadcast(days), "segment")
     obs = panel.select(F.col("instrument_id"), F.col("business_date").cast("date").alias("business_date"), *[F.col(c) for c in ("price_return", "gross_dividend", "net_dividend", "market_cap")])
@@ -155,7 +158,11 @@ def factors(h: DataFrame, dividends: Dividends = Dividends.STANDARD) -> DataFram
 
 def daily(h: DataFrame, dividends: Dividends = Dividends.STANDARD, base: float = 100.0) -> DataFrame:
     """Returns and levels of index and benchmark, and active returns, a row a date."""
-    f = factors(h, dividends)
+    return levelled(factors(h, dividends), base)
+
+
+def levelled(f: DataFrame, base: float = 100.0) -> DataFrame:
+    """``daily`` of the factors of all dates."""
     wide = f.groupBy("business_date").agg(*[F.max(F.when(F.col("portfolio") == p, F.col(k))).alias(f"{p}_{k}_factor") for p in ("index", "benchmark") for k in KINDS])
     upto = Window.orderBy("business_date").rowsBetween(Window.unboundedPreceding, 0)
     out = wide
@@ -233,8 +240,69 @@ def rebased(d: DataFrame, start, base: float = 100.0) -> DataFrame:
     return d
 
 
+#: Days of the calendar by which a run that starts late looks back for a cap.
+LOOK_BACK_DAYS = 14
+
+
+def look_back(start, drift: Drift = Drift.PRICE, days: int = LOOK_BACK_DAYS) -> Column:
+    """The first date to ask market data for: ``days`` before ``start`` where the drift needs an earlier cap."""
+    d = F.lit(start).cast("date")
+    return F.date_sub(d, days) if drift != Drift.PRICE else d
+
+
+def seed_start(schedule: DataFrame, start) -> DataFrame:
+    """One row ``(seed_date)``: the second-latest review up to ``start`` (the latest if it is alone), from which a run that starts there is replayed."""
+    past = schedule.select("effective_date").distinct().where(F.col("effective_date") <= F.lit(start).cast("date"))
+    last = F.sort_array(F.collect_list("effective_date"), asc=False)  # a row a review
+    return past.agg(last.alias("__d")).select(F.coalesce(F.get("__d", F.lit(1)), F.get("__d", F.lit(0))).alias("seed_date"))
+
+
+def replayed(d: DataFrame, start, base: float = 100.0) -> DataFrame:
+    """``daily`` of a run that began at its seed: rows from ``start`` on, levels from ``base`` there."""
+    return rebased(d, start, base)
+
+
 def checkpoint(h: DataFrame, d: DataFrame, date) -> DataFrame:
     """State after ``date``: closing weights by portfolio and instrument, with that date's levels."""
-    levels = F.broadcast(d.where(F.col("business_date") == F.lit(date)).select(*[c for c in d.columns if c.endswith("_level")]))
-    w = weights_by_date(h).where(F.col("business_date") == F.lit(date)).select("business_date", "portfolio", "instrument_id", "closing_weight")
-    return w.join(levels)
+    levels = d.where(F.col("business_date") == F.lit(date).cast("date")).select(*[c for c in d.columns if c.endswith("_level")])
+    w = weights_by_date(h).where(F.col("business_date") == F.lit(date).cast("date")).select("business_date", "portfolio", "instrument_id", "closing_weight")
+    return w.join(F.broadcast(levels))  # one row
+
+
+def decoded(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a checkpoint: its weights as targets ``(portfolio, effective_date, instrument_id, weight)``, and its one row of levels."""
+    w = state.select("portfolio", F.col("business_date").alias("effective_date"), "instrument_id", F.col("closing_weight").alias("weight"))
+    return w, state.select("business_date", *[c for c in state.columns if c.endswith("_level")]).distinct()
+
+
+def resumed(state: DataFrame, panel: DataFrame, weights: DataFrame, dividends: Dividends = Dividends.STANDARD, **how) -> DataFrame:
+    """``daily`` after a checkpoint's date, going on from its weights and levels as if the run had never stopped.
+
+    Reviews after that date apply as ever; until the first of them the
+    checkpoint's weights drift on. Weights must have the state's portfolios.
+    """
+    targets, levels = decoded(state)
+    held_at = levels.select("business_date").first()
+    if held_at is None:
+        raise ValueError("the checkpoint is empty")
+    date = held_at[0]
+    later = weights.where(F.col("effective_date").cast("date") > F.lit(date))
+    first = panel.where(F.col("business_date").cast("date") > F.lit(date)).agg(F.min("business_date").cast("date")).first()[0]
+    if first is not None and not later.where(F.col("effective_date").cast("date") <= F.lit(first)).isEmpty():
+        both = later.select("portfolio", "effective_date", "instrument_id", "weight")  # a review applies at once
+    else:
+        both = later.select("portfolio", F.col("effective_date").cast("date").alias("effective_date"), "instrument_id", "weight").unionByName(targets.select("portfolio", F.col("effective_date").cast("date").alias("effective_date"), "instrument_id", "weight"))
+    d = daily(held(panel, both, after=date, **how), dividends, 1.0)
+    start = F.broadcast(levels.drop("business_date").select(*[F.col(c).alias(f"__{c}") for c in levels.columns if c.endswith("_level")]))
+    d = d.join(start)
+    return d.withColumns({c[2:]: F.col(c[2:]) * F.col(c) for c in d.columns if c.startswith("__")}).drop(*[c for c in d.columns if c.startswith("__")])
+
+
+def combined(parts: list[DataFrame]) -> DataFrame:
+    """Daily tables of consecutive runs on top of each other; a date that two of them have is an error when it is read."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    twice = F.count("*").over(Window.partitionBy("business_date")) > 1
+    date = F.when(twice, F.raise_error(F.lit("two runs have one business date")).cast("date")).otherwise(F.col("business_date"))
+    return out.withColumn("business_date", date)

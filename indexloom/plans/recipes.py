@@ -212,13 +212,18 @@ def minimum_variance_recipe(limits: Any, column: str = "price_return", **how: An
     ))
 
 
-def each_review(recipe: Recipe, reviews: Sequence[tuple[str, Mapping[str, DataFrame]]], prior: PriorState = PriorState.OPTIONAL, empty: DataFrame | None = None) -> dict[str, DataFrame]:
-    """A recipe run review by review for methods that build on the weights before: each gets ``previous_weights``."""
+def each_review(recipe: Recipe, reviews: Sequence[tuple[str, Mapping[str, DataFrame]]], prior: PriorState = PriorState.OPTIONAL, empty: DataFrame | None = None, save: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """A recipe run review by review for methods that build on the weights before: each gets ``previous_weights``.
+
+    Each review's weights are saved (by default in the session's checkpoint
+    folder) and read again, so that no plan holds the reviews before it.
+    """
+    save = save or (lambda date, df: df.checkpoint())
     out: dict[str, DataFrame] = {}
     last = empty
     for date, given in reviews:
         if last is None and prior == PriorState.REQUIRED:
             raise RecipeError(f"{date} has no weights before it")
         more = {} if last is None else {"previous_weights": last}
-        out[date] = last = run(recipe, {**given, **more}, wanted=["weights"])["weights"]
+        out[date] = last = save(date, run(recipe, {**given, **more}, wanted=["weights"])["weights"])
     return out

@@ -62,6 +62,22 @@ def validation(constituents: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     return v.select(REVIEW, F.lit("weights").alias("check"), F.when(ok, "passed").otherwise("failed").alias("status"), F.col("portfolio_weight_sum").alias("value"))
 
 
+def overview(constituents: DataFrame, index_id: str = "index") -> DataFrame:
+    """``(field, value)`` rows of what an index is: its reviews, names and latest holdings."""
+    last = F.max(REVIEW)
+    row = constituents.groupBy(REVIEW).agg(F.count_if(F.col("index_weight") > 0).alias("held"))
+    names = constituents.agg(F.count_distinct("instrument_id").alias("names"))
+    row = row.agg(F.min(REVIEW).alias("first"), last.alias("last"), F.count("*").alias("reviews"), F.max_by("held", REVIEW).alias("held")).join(names)
+    cells = (("index", F.lit(index_id)), ("first_review", F.col("first")), ("last_review", F.col("last")), ("reviews", F.col("reviews")), ("instruments", F.col("names")), ("latest_holdings", F.col("held")))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), c.cast("string").alias("value")) for k, c in cells])).alias("p")).select("p.*")
+
+
+def data_sources(spark: SparkSession, provenance: Any) -> DataFrame:
+    """``(provider, capability, requests)`` of what a run asked for."""
+    rows = [(c["provider"], c["capability"]) for c in provenance.calls]
+    return spark.createDataFrame(rows, "provider string, capability string").groupBy("provider", "capability").agg(F.count("*").alias("requests"))
+
+
 def flattened(values: Mapping[str, Any], at: str = "") -> list[dict]:
     """Nested parameters as ``parameter, value`` rows, sensitive ones left out."""
     out = []

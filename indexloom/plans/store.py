@@ -1,8 +1,10 @@
 """A store of immutable tables with a catalog: content-addressed Parquet, bound to cache keys.
 
 Tables and catalog go through Spark, so any file system that Spark reads will
-do. A table is written beside, checked by digest and then named by it; the
-catalog is a small table rewritten whole, its latest version found by number.
+do. A table is written beside, checked by digest and then named by it. The
+catalog is a log: each change appends its rows, and the last row of a binding
+counts, so writers never wait for or overwrite each other. Each binding is
+also written beside its table, from where the log can be made again.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ class Damaged(ValueError):
 
 
 _CATALOG = "stage string, cache_key string, name string, content long, rows long, path string, status string, created double, note string"
+_LOG = _CATALOG + ", changed double, event string"
+_KEY = ("stage", "cache_key", "name")
 _STATUSES = ("draft", "reviewed", "approved", "superseded", "invalidated")
 
 
@@ -54,7 +58,7 @@ class Store:
     def save(self, df: DataFrame, sort_by: Sequence[str] = ()) -> Reference:
         """Write ``df`` once; equal rows are one object whoever stores them."""
         tmp = f"{self.root}/tmp/{uuid.uuid4().hex}"
-        out = df.sortWithinPartitions(*sort_by) if sort_by else df
+        out = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else df
         out.write.option("compression", "zstd").parquet(tmp)
         back = self.spark.read.schema(df.schema).parquet(tmp)
         content, rows = content_digest(back), back.count()
@@ -75,42 +79,57 @@ class Store:
 
     # -- catalog --
 
-    def _versions(self) -> list[int]:
-        top = self._path(f"{self.root}/catalog")
-        if not self._fs.exists(top):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(top)]
-        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.root}/catalog/{n}/_SUCCESS")))
-
     def catalog(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(_CATALOG).parquet(f"{self.root}/catalog/{found[-1]}") if found else self.spark.createDataFrame([], _CATALOG)
+        """The bindings as their last changes left them."""
+        last = self._log().groupBy(*_KEY).agg(F.max_by(F.struct("content", "rows", "path", "status", "created", "note"), F.struct("changed", "event")).alias("b"))
+        return last.select(*_KEY, "b.*")
+
+    def _log(self) -> DataFrame:
+        if not self._fs.exists(self._path(f"{self.root}/catalog/_SUCCESS")):
+            return self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).parquet(f"{self.root}/catalog")
 
-    def _commit(self, df: DataFrame) -> None:
-        """The next version, whole; of two writers at once the second fails and can try again."""
-        found = self._versions()
-        df.coalesce(1).write.mode("error").parquet(f"{self.root}/catalog/{(found[-1] if found else 0) + 1}")
+    def _append(self, df: DataFrame) -> None:
+        """One more file of the log with these bindings as they are now."""
+        event = F.lit(f"{time.time():.6f}-{uuid.uuid4().hex}")
+        df.select(*_KEY, "content", "rows", "path", "status", "created", "note", F.lit(time.time()).alias("changed"), event.alias("event")).coalesce(1).write.mode("append").parquet(f"{self.root}/catalog")
 
     def bind(self, stage: str, key: str, name: str, reference: Reference, note: str = "") -> None:
-        row = self.spark.createDataFrame([(stage, key, name, reference.content, reference.rows, reference.path, "draft", time.time(), note)], _CATALOG)
-        same = (F.col("stage") == stage) & (F.col("cache_key") == key) & (F.col("name") == name)
-        self._commit(self.catalog().where(~same).unionByName(row))
+        self.bind_all([(stage, key, name)], reference, note)
+
+    def bind_all(self, bindings: Sequence[tuple[str, str, str]], reference: Reference, note: str = "") -> None:
+        """Several ``(stage, key, name)`` bound to one object, as one change."""
+        now = time.time()
+        row = self.spark.createDataFrame([(*b, reference.content, reference.rows, reference.path, "draft", now, note) for b in bindings], _CATALOG)
+        row.coalesce(1).write.mode("append").json(f"{reference.path}/_bindings")
+        self._append(row)
+
+    def rebuild_catalog(self) -> int:
+        """The log made again from the bindings beside the tables, all as drafts; the number of these."""
+        self._fs.delete(self._path(f"{self.root}/catalog"), True)
+        paths = [f"{p}/_bindings" for p in self._objects() if self._fs.exists(self._path(f"{p}/_bindings"))]
+        if not paths:
+            return 0
+        rows = self.spark.read.schema(_CATALOG).json(paths).groupBy(*_KEY).agg(F.max_by(F.struct("content", "rows", "path", "status", "created", "note"), "created").alias("b"))
+        self._append(rows.select(*_KEY, "b.*"))
+        return self.catalog().count()
 
     def resolve(self, stage: str, key: str, name: str) -> Reference | None:
         row = self.catalog().where((F.col("stage") == stage) & (F.col("cache_key") == key) & (F.col("name") == name) & (F.col("status") != "invalidated")).first()
         return Reference(row["content"], row["rows"], row["path"]) if row else None
 
+    def _change(self, hit, status: str) -> None:
+        self._append(self.catalog().where(hit).withColumn("status", F.lit(status)))
+
     def set_status(self, stage: str, key: str, status: str, name: str | None = None) -> None:
         if status not in _STATUSES:
             raise ValueError(f"unknown status {status}")
-        hit = (F.col("stage") == stage) & (F.col("cache_key") == key) & (F.lit(True) if name is None else F.col("name") == name)
-        self._commit(self.catalog().withColumn("status", F.when(hit, status).otherwise(F.col("status"))))
+        self._change((F.col("stage") == stage) & (F.col("cache_key") == key) & (F.lit(True) if name is None else F.col("name") == name), status)
 
     def invalidate(self, stage: str, key: str | None = None, name: str | None = None) -> None:
         hit = F.col("stage") == stage
         hit = hit if key is None else hit & (F.col("cache_key") == key)
-        hit = hit if name is None else hit & (F.col("name") == name)
-        self._commit(self.catalog().withColumn("status", F.when(hit, "invalidated").otherwise(F.col("status"))))
+        self._change(hit if name is None else hit & (F.col("name") == name), "invalidated")
 
     def latest(self, stage: str) -> dict | None:
         """The newest valid binding of a stage."""
@@ -125,12 +144,15 @@ class Store:
                 bad.append(r["path"])
         return bad
 
-    def prune(self, dry_run: bool = True) -> list[str]:
-        """Objects that no valid binding names; deleted unless it is a dry run."""
+    def _objects(self, older_than: float = 0.0) -> list[str]:
         top = self._path(f"{self.root}/objects")
-        there = [f"{self.root}/objects/{s.getPath().getName()}" for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        last = (time.time() - older_than) * 1000
+        return [f"{self.root}/objects/{s.getPath().getName()}" for s in self._fs.listStatus(top) if s.getModificationTime() <= last] if self._fs.exists(top) else []
+
+    def prune(self, dry_run: bool = True, older_than: float = 86_400.0) -> list[str]:
+        """Objects that no valid binding names and that are older than so many seconds (younger ones a writer may be about to bind); deleted unless it is a dry run."""
         used = {r["path"] for r in self.catalog().where("status <> 'invalidated'").select("path").distinct().collect()}
-        gone = sorted(set(there) - used)
+        gone = sorted(set(self._objects(older_than)) - used)
         for p in [] if dry_run else gone:
             self._fs.delete(self._path(p), True)
         return gone
@@ -180,3 +202,30 @@ def missing_segments(wanted: DataFrame, stored: DataFrame, keys: Sequence[str] =
 def segment_key(configuration: Mapping[str, Any], targets: int, opening: int | None) -> str:
     """Identity of a holding segment: what is configured, what is held and the state it opens with."""
     return digest([dict(configuration), targets, opening])
+
+
+_temporary: list[Store] = []
+
+
+def temporary(spark: SparkSession) -> Store:
+    """A store of its own in the session's shared checkpoint folder, deleted at exit; a machine-local one only in local mode."""
+    import atexit
+    import tempfile
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="indexloom-")
+    if not _temporary:
+        atexit.register(_drop_temporary)
+    _temporary.append(Store(spark, f"{root.rstrip('/')}/indexloom-store-{uuid.uuid4().hex}"))
+    return _temporary[-1]
+
+
+def _drop_temporary() -> None:
+    import contextlib
+
+    for s in _temporary:
+        with contextlib.suppress(Exception):  # the session may be gone
+            s._fs.delete(s._path(s.root), True)
