@@ -368,7 +368,17 @@ def regime_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return regimes.transitions(v.regimes(spark, sf))
 
 
-@query()
+def _phi(x: str) -> str:
+    """The normal distribution function by its alternating series, in SQL."""
+    return f"(0.5 + list_sum(list_transform(range(0, 80), lambda n: pow(-1, n) * pow({x}, 2 * n + 1) / (gamma(n + 1) * pow(2, n) * (2 * n + 1)))) / sqrt(2 * pi()))"
+
+
+@query("series", "regimes", sql=_REGIME_SERIES + f""", rk AS (SELECT series, regime, rank() OVER (PARTITION BY series ORDER BY r) + (count(*) OVER (PARTITION BY series, r) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY series, r) AS t FROM rr),
+g AS (SELECT series, CAST(count(*) AS DOUBLE) AS n, sum(t * t - 1.0) AS ties, sum(k) FILTER (regime = 'contraction') AS ra, count(*) FILTER (regime = 'contraction') AS na, sum(k) FILTER (regime = 'expansion') AS rb, count(*) FILTER (regime = 'expansion') AS nb FROM rk GROUP BY 1),
+st AS (SELECT series, (12 / (n * (n + 1)) * (ra * ra / na + rb * rb / nb) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h, ra - na * (na + 1) / 2.0 AS u, na * nb AS ab, sqrt(na * nb / 12.0 * (n + 1 - ties / (n * (n - 1)))) AS sd FROM g),
+zs AS (SELECT *, -sqrt(h) AS x, -(greatest(u, ab - u) - ab / 2.0 - 0.5) / sd AS z FROM st)
+SELECT series, 'kruskal_wallis' AS test, NULL AS regime_a, NULL AS regime_b, h AS statistic, 2 * {_phi("x")} AS p_value FROM zs
+UNION ALL SELECT series, 'mann_whitney_u', 'contraction', 'expansion', u, least(1, 2 * {_phi("z")}) FROM zs""", dates=False)
 def regime_distribution_tests(spark: SparkSession, sf: str) -> DataFrame:
     return regimes.distribution_tests(_regime_returns(spark, sf), v.regimes(spark, sf))
 

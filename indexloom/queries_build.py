@@ -44,7 +44,11 @@ def factor_tilt_proportional(spark: SparkSession, sf: str) -> DataFrame:
     return construction.tilted(_scored(spark, sf), _TILTS, Tilt.PROPORTIONAL, 0.8).select("effective_date", "instrument_id", "factor_score", "index_weight")
 
 
-@query()
+#: The normal distribution function by its alternating series.
+_PHI = "(0.5 + list_sum(list_transform(range(0, 60), lambda n: pow(-1, n) * pow(factor_score, 2 * n + 1) / (gamma(n + 1) * pow(2, n) * (2 * n + 1)))) / sqrt(2 * pi()))"
+
+
+@query("constituents", sql=_tilt_sql(f"pow({_PHI}, 2)"))
 def factor_tilt_power(spark: SparkSession, sf: str) -> DataFrame:
     return construction.tilted(_scored(spark, sf), _TILTS, Tilt.POWER, 2.0).select("effective_date", "instrument_id", "factor_score", "index_weight")
 
@@ -218,7 +222,10 @@ def scenario_audit(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.audit(v.constituents(spark, sf), _SCENARIO)
 
 
-@query()
+_UNIFORM = "((CAST('0x' || substr(md5('17|{k}|quality|' || CAST(effective_date AS VARCHAR) || '|' || instrument_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+
+
+@query("constituents", sql=f"SELECT effective_date, instrument_id, quality * (1 + 0.1 * sqrt(-2 * ln({_UNIFORM.format(k=0)})) * cos(2 * pi() * {_UNIFORM.format(k=1)})) AS quality FROM constituents")
 def noisy_factors(spark: SparkSession, sf: str) -> DataFrame:
     c = v.constituents(spark, sf).select("effective_date", "instrument_id", "quality")
     return scenarios.noisy(c, ["quality"], 0.1, 17, ["effective_date", "instrument_id"], relative=True)

@@ -108,7 +108,6 @@ def test_rank_tests(spark):
     u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
     assert t["mann_whitney_u"]["statistic"] == pytest.approx(u)
     assert 0 < t["mann_whitney_u"]["p_value"] <= 1 and 0 < t["kruskal_wallis"]["p_value"] < 1
-    assert regimes.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
 
 
 def test_quality(spark):
