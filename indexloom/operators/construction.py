@@ -114,7 +114,8 @@ class Limits:
     """What weights of a review must meet.
 
     ``groups``: by class column, how far a class may be from its benchmark
-    weight (null is a class). ``capacity``: weight up to a multiple of the
+    weight (null is a class); ``relative_groups``: how far as a part of it.
+    ``investment``: what weights sum to. ``capacity``: weight up to a multiple of the
     benchmark's. ``liquid``: column of tradable value, with portfolio value
     and participation, that bounds a weight.
     """
@@ -123,6 +124,8 @@ class Limits:
     maximum: float = 1.0
     capacity: float | None = None
     groups: Mapping[str, float] = field(default_factory=dict)
+    relative_groups: Mapping[str, float] = field(default_factory=dict)
+    investment: float = 1.0
     exposures: tuple[Exposure, ...] = ()
     liquid: str | None = None
     portfolio_value: float = 1.0
@@ -139,11 +142,12 @@ class Limits:
 
     def rows(self, pdf: pd.DataFrame, benchmark: np.ndarray) -> list[solvers.Linear]:
         out = [e.row(pdf) for e in self.exposures]
-        for column, tolerance in self.groups.items():
+        for column, tolerance, part in [*((c, t, False) for c, t in self.groups.items()), *((c, t, True) for c, t in self.relative_groups.items())]:
             for value in pdf[column].unique():
                 inside = (pdf[column].isna() if pd.isna(value) else pdf[column] == value).to_numpy(float)
-                held = float(inside @ benchmark)
-                out.append(solvers.Linear(f"{column}={value}", inside, held - tolerance, held + tolerance))
+                held = float(inside @ benchmark) * self.investment
+                room = tolerance * held if part else tolerance
+                out.append(solvers.Linear(f"{column}={value}", inside, held - room, held + room))
         return out
 
 
@@ -176,7 +180,7 @@ def projected(df: DataFrame, limits: Limits, desired: str = "index_weight", by:
 
     def solve(pdf: pd.DataFrame) -> solvers.Solution:
         b = _benchmark(pdf)
-        return solvers.closest(pdf["__desired"].to_numpy(float), *limits.bounds(pdf, b), limits.rows(pdf, b))
+        return solvers.closest(pdf["__desired"].to_numpy(float), *limits.bounds(pdf, b), limits.rows(pdf, b), limits.investment)
 
     return _per_review(df, solve, by).drop("__desired")
 
@@ -199,7 +203,7 @@ def minimum_variance(df: DataFrame, cov: DataFrame, limits: Limits, by: str = RE
         m -= min(np.linalg.eigvalsh(m).min(), 0) * np.eye(len(m))
         b = _benchmark(pdf)
         ref = pdf[reference].to_numpy(float) if reference else b
-        return solvers.minimum_variance(m, *limits.bounds(pdf, b), limits.rows(pdf, b), 1.0, b, tracking_error, ref, turnover)
+        return solvers.minimum_variance(m, *limits.bounds(pdf, b), limits.rows(pdf, b), limits.investment, b, tracking_error, ref, turnover)
 
     return _per_review(joined.select(*names, "__cov"), solve, by).drop("__cov")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
@@ -126,6 +128,19 @@ def content_digest(df: DataFrame) -> int:
     return (int(total or 0) * 1_000_003 + n) % (1 << 63)
 
 
+def frame_digest(df: DataFrame, sort_by: Sequence[str] = ()) -> str:
+    """SHA-256 of a table's columns and kinds, in order, and its rows; with ``sort_by``, of a small table, their order by these too."""
+    cells = [F.col(c) for c in df.columns]
+    total = F.sum(F.xxhash64(*cells).cast("decimal(38,0)"))
+    if sort_by:
+        place = F.row_number().over(Window.orderBy(*sort_by, F.xxhash64(*cells)))
+        df = df.withColumn("__place", place)
+        total = F.sum(F.xxhash64(*cells, "__place").cast("decimal(38,0)"))
+    kinds = [(c, k) for c, k in df.dtypes if c != "__place"]
+    n, rows = df.agg(F.count("*"), total).first()
+    return hashlib.sha256(json.dumps([kinds, n, str(rows), list(sort_by)]).encode()).hexdigest()
+
+
 def redact(df: DataFrame, names: str = r"(?i)(password|secret|token|api_?key|credential|connection)", values: str = r"(?i)((?:password|secret|token|api_?key)\s*[=:]\s*)[^\s;,]+") -> DataFrame:
     """Columns with sensitive names become ``[redacted]``; sensitive parts of other strings too."""
     import re

@@ -8,9 +8,11 @@ date, and a product over a table with a row a date.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from enum import StrEnum
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -35,6 +37,30 @@ class Drift(StrEnum):
     CAP = "capitalization"
 
 
+class DriftStrategy(Protocol):
+    """How a holding's weight mass moves within a segment: an expression over its window ``by``, ordered by date.
+
+    The columns are weight, price_return, market_cap and, if
+    ``requires_previous``, ``__cap_before``, the instrument's cap before the date.
+    """
+
+    name: str
+    requires_previous: bool
+
+    def mass(self, by: WindowSpec) -> Column: ...
+
+
+@dataclass(frozen=True)
+class AbsoluteCap:
+    """For replays of old runs: the cap as it is, whatever weight was given, and unchecked."""
+
+    name: str = "absolute_market_cap"
+    requires_previous: bool = False
+
+    def mass(self, by: WindowSpec) -> Column:
+        return F.col("market_cap")
+
+
 class Gaps(StrEnum):
     REPORT = "report"
     CARRY = "carry"
@@ -104,7 +130,7 @@ def carried(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     return d.withColumn("market_cap", F.last("market_cap", True).over(upto))
 
 
-def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing: Timing = Timing.NEXT, drift: Drift = Drift.PRICE, gaps: Gaps = Gaps.REPORT, after=None) -> DataFrame:
+def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing: Timing = Timing.NEXT, drift: Drift | DriftStrategy = Drift.PRICE, gaps: Gaps = Gaps.REPORT, after=None) -> DataFrame:
     """Each instrument a portfolio holds on each date, with its weight mass before and after the date's return.
 
     A held instrument without an observation on a date it is held has null
@@ -122,11 +148,14 @@ def held(panel: DataFrame, weights: DataFrame, phase: Phase = Phase.OPEN, timing
     spine = targets.join(F.broadcast(days), "segment")
     obs = panel.select(F.col("instrument_id"), F.col("business_date").cast("date").alias("business_date"), *[F.col(c) for c in ("price_return", "gross_dividend", "net_dividend", "market_cap")])
     by = Window.partitionBy("portfolio", "segment", "instrument_id").orderBy("business_date")
-    if drift != Drift.PRICE:
+    own = None if isinstance(drift, Drift) else drift
+    if own.requires_previous if own else drift != Drift.PRICE:
         last = F.lag("market_cap").over(Window.partitionBy("instrument_id").orderBy("business_date"))
         obs = obs.withColumn("__cap_before", last)
     d = spine.join(obs, ["instrument_id", "business_date"], "left")
-    if drift == Drift.PRICE:
+    if own:
+        mass = own.mass(by)
+    elif drift == Drift.PRICE:
         mass = F.col("weight") * F.product(1 + F.col("price_return")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     elif drift == Drift.RELATIVE_CAP:
         mass = F.col("weight") * F.col("market_cap") / F.first("__cap_before").over(by.rowsBetween(Window.unboundedPreceding, 0))

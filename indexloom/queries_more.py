@@ -7,10 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import comparison, construction, quality, reviews, scenarios, simulation
+from .operators import comparison, construction, events, performance, quality, reviews, scenarios, simulation
 from .operators.construction import Exposure, Limits
 from .plans import caches, recipes, report, runs, segments, store
-from .queries import query
+from .queries import BENCH, INDEX, _rolling_sql, query
 from .queries_build import _Z, _scored
 from .queries_sim import _DAILY, _LOOP, _sim_sql
 from .sources import calendars, contracts, providers, rules
@@ -583,3 +583,25 @@ def carried_turnover(spark: SparkSession, sf: str) -> DataFrame:
     return quality.carried_turnover(t)
 
 
+
+
+# -- daily series and alignments -------------------------------------------------------
+
+
+@query(sql=f"WITH series AS (SELECT CAST(o_orderdate AS DATE) AS business_date, avg(o_totalprice) / 1e7 - 0.015 AS {INDEX}, max(o_totalprice) / 1e7 - 0.03 AS {BENCH} FROM orders GROUP BY 1) " + _rolling_sql([(21, 21), (63, 63), (252, 252)]))
+def rolling_risk_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A month, a quarter and a year of a daily series."""
+    o = v.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("business_date"))
+    daily = o.agg((F.avg("o_totalprice") / 1e7 - 0.015).alias(INDEX), (F.max("o_totalprice") / 1e7 - 0.03).alias(BENCH))
+    return performance.rolling_risk(daily, INDEX, BENCH)
+
+
+@query("series", "event_dates", sql="""WITH ps AS (SELECT business_date, row_number() OVER (ORDER BY business_date) - 1 AS p FROM series),
+ev AS (SELECT event_date FROM event_dates UNION SELECT business_date FROM ps WHERE p % 10 = 0)
+SELECT 'exact' AS alignment, event_date AS requested_event_date, (SELECT max(p) FROM ps WHERE business_date = event_date) AS "position" FROM ev
+UNION ALL SELECT 'next', event_date, (SELECT min(p) FROM ps WHERE business_date >= event_date) FROM ev UNION ALL SELECT 'previous', event_date, (SELECT max(p) FROM ps WHERE business_date <= event_date) FROM ev""")
+def event_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each event falls in a calendar, by each alignment; null where there is no such date."""
+    days = events.positions(v.series(spark, sf).select("business_date"))
+    asked = v.event_dates(spark, sf).unionByName(days.where("position % 10 = 0").select(F.col("business_date").alias("event_date"))).distinct()
+    return comparison.stacked({a: events.aligned_events(asked, days, a) for a in (events.EXACT, events.NEXT, events.PREVIOUS)}).withColumnRenamed("candidate", "alignment")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
 from enum import StrEnum
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +25,20 @@ def weekdays(spark: SparkSession, start: str, end: str) -> DataFrame:
     return days.where(F.weekday("business_date") < 5)
 
 
+def to_calendar(spark: SparkSession, dates: DataFrame | Iterable) -> DataFrame:
+    """``(business_date)``, each day once, of a table with that column, or of dates, times and ISO texts; anything else is an error."""
+    if isinstance(dates, DataFrame):
+        return dates.select(F.col("business_date").cast("date").alias("business_date")).where("business_date IS NOT NULL").distinct()
+    days = set()
+    for d in dates:
+        if isinstance(d, str):
+            d = dt.datetime.fromisoformat(d)
+        if not isinstance(d, dt.date):
+            raise TypeError(f"no date: {d!r}")
+        days.add(d.date() if isinstance(d, dt.datetime) else d)
+    return spark.createDataFrame([(d,) for d in sorted(days)], "business_date date")
+
+
 def is_anchor(d: Column, frequency: Frequency) -> Column:
     """True on the days that end a period: Fridays, or the last day of a month, quarter, half or year."""
     last = d == F.last_day(d)
@@ -92,8 +108,6 @@ def concatenated(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def month_partitions(start: str, end: str) -> list[tuple[str, str]]:
     """First and last day of each calendar month's part of the range."""
-    import datetime as dt
-
     a, z = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
     out = []
     while a <= z:

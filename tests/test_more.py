@@ -5,13 +5,14 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from indexloom.functions.columns import chi_square_tail, normal_cdf
 from indexloom.operators import construction, quality, reviews, risk, routing, scenarios, simulation, solvers
 from indexloom.operators.simulation import Drift, Gaps, Phase
 from indexloom.plans import caches, store
-from indexloom.sources import providers
+from indexloom.sources import calendars, providers
 from tests.test_simulation import D0, REVIEWS, market
 
 PANEL = "instrument_id string, business_date date, price_return double, gross_dividend double, net_dividend double, market_cap double"
@@ -179,3 +180,38 @@ def test_reference_data_as_of(spark):
     p = providers.TableProvider({"reference_data": t})
     ids = t.select("instrument_id")
     assert [tuple(r) for r in p.load_reference_data(ids, "2026-02-01", ["x"]).collect()] == [("A", 1.0)]
+
+
+def test_drift_by_protocol(spark):
+    """An own strategy drives the simulator like a named one; the one for replays takes caps as they are."""
+    class Like:
+        name, requires_previous = "like_price", False
+
+        def mass(self, by):
+            return F.col("weight") * F.product(1 + F.col("price_return")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+
+    panel = spark.createDataFrame(market(), PANEL)
+    weights = spark.createDataFrame([(p, D0, i, 1.0) for i in "ABC" for p in ("index", "benchmark")], "portfolio string, effective_date date, instrument_id string, weight double")
+    run = lambda d: [tuple(r) for r in simulation.daily(simulation.held(panel, weights, drift=d)).orderBy("business_date").collect()]
+    assert run(Like()) == run(Drift.PRICE) and run(simulation.AbsoluteCap()) == run(Drift.CAP)
+
+
+def test_digests_see_kinds_and_order(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "n int, s string")
+    assert quality.frame_digest(a) == quality.frame_digest(a.orderBy(F.desc("n"))) != quality.frame_digest(a.withColumn("n", F.col("n").cast("long")))
+    assert quality.frame_digest(a, ["n"]) != quality.frame_digest(a, ["s"]) and quality.frame_digest(a.select("s", "n")) != quality.frame_digest(a)
+
+
+def test_calendars_of_anything(spark):
+    days = [dt.date(2026, 1, 2), "2026-01-05", dt.datetime(2026, 1, 5, 9), "2026-01-06T10:00:00"]
+    got = [r[0].day for r in calendars.to_calendar(spark, days).orderBy("business_date").collect()]
+    assert got == [2, 5, 6] and calendars.to_calendar(spark, calendars.to_calendar(spark, days)).count() == 3
+    with pytest.raises(TypeError):
+        calendars.to_calendar(spark, [3])
+
+
+def test_relative_groups_and_investment(spark):
+    c = spark.createDataFrame([("2026-01-01", f"n{k}", "ab"[k % 2], 0.25, [0.7, 0.1, 0.1, 0.1][k]) for k in range(4)], "effective_date string, instrument_id string, sector string, benchmark_weight double, index_weight double")
+    w = construction.projected(c, construction.Limits(relative_groups={"sector": 0.1}, investment=0.8)).collect()
+    a = sum(r["index_weight"] for r in w if r["sector"] == "a")
+    assert sum(r["index_weight"] for r in w) == pytest.approx(0.8) and a == pytest.approx(0.44, abs=1e-6)
