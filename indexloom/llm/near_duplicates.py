@@ -36,13 +36,14 @@ def linked(nodes: DataFrame, docs: DataFrame, row: dict[str, Column], text_col:
     is one, and last all texts of other groups that share enough of its prefix
     are met.
     """
-    near = written(near_fingerprints(nodes.select("node", "fp")), "near")
-    seen = shingle_join.met(nodes)
-    ends = seen.select("node").union(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    names = written(nodes.select("node", *row, "__times").join(ends, "node", "left_semi"), "names")
-    held = shingle_join.sets(docs, names, row, text_col, width)
-    first = shingle_join.decided(near.unionByName(shingle_join.heads(seen)), held, similarity)
-    rest = shingle_join.decided(shingle_join.across(seen, components(first), similarity), held, similarity)
+    how = (docs, nodes, row, text_col, width, similarity)
+    with scratch() as keep:
+        near = written(near_fingerprints(nodes.select("node", "fp")), "near")
+        seen = shingle_join.met(nodes)
+        first = shingle_join.decided(near.unionByName(shingle_join.heads(seen, similarity)), *how)
+        rest = shingle_join.decided(shingle_join.across(seen, nodes, components(first), similarity), *how)
+        keep(first)
+        keep(rest)
     return components(first.unionByName(rest))
 
 
@@ -57,12 +58,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
     row = {"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(F.col(text_col).cast("string")), "__rh": F.xxhash64(*whole)}
     with scratch() as keep:
-        rows = written(shingle_join.prefixes(docs, [c.alias(k) for k, c in row.items()], text_col, width, similarity), "prefixes")
-        times = written(rows.groupBy(*row).agg(F.count("*").alias("__times"), F.min("node").alias("node")), "times")
-        name = F.min(F.struct(F.col("__id").isNull().alias("none"), *row, "__times")).alias("name")
-        names = times.groupBy("node").agg(name)
-        cells = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "mid", "prefix")))
-        nodes = written(cells.join(names, "node").select("node", "name", "name.*", "fp", "n", "mid", "prefix"), "nodes")
+        with scratch() as keep_nodes:
+            rows = written(shingle_join.prefixes(docs, [c.alias(k) for k, c in row.items()], text_col, width, similarity), "prefixes")
+            times = written(rows.groupBy(*row).agg(F.count("*").alias("__times"), F.min("node").alias("node")), "times")
+            names = times.groupBy("node").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), *row, "__times")).alias("name"))
+            cells = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "mid", "prefix")))
+            nodes = keep_nodes(written(cells.join(names, "node").select("node", "name", "name.*", "fp", "n", "mid", "prefix"), "nodes"))
         by_hash = {k: row[k] for k in ("__th", "__rh")}
         roots = linked(nodes, docs, by_hash, text_col, width, similarity)
         of_each = nodes.select("node", "name").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("name").alias("name"))

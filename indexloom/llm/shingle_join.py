@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import small, written
+from .common import scratch, small, written
 
 #: Shingles counted at a time; of a block's, those that it has more than once are counted over all blocks.
 BLOCK = 1 << 20
@@ -140,30 +140,45 @@ def met(nodes: DataFrame) -> DataFrame:
     met is then shuffled on, and gets the rest of its columns after.
     """
     keys = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
-    held = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
-    several = written(keys.join(small(held, held.count(), SLIM_ROWS), "key"), "several")
-    return written(several.join(nodes.select("node", "n", "mid"), "node").select("key", "size", "node", "at", "n", "mid"), "met")
+    with scratch() as keep:
+        held = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+        several = written(keys.join(held.hint("merge"), "key"), "several")
+        return keep(written(several.join(nodes.select("node", "n", "mid"), "node").select("key", "size", "node", "at", "n", "mid"), "met"))
 
 
-def heads(seen: DataFrame) -> DataFrame:
-    """``(a, b)``: each text with one of those that have the most frequent shingles under a shingle it has, that which it meets so most often; of a group of copies, mostly what they are copies of."""
-    first = written(seen.groupBy("key").agg(F.max(F.struct("mid", "node")).alias("head")), "heads")
+def heads(seen: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: each text with that which most often has the most frequent shingles of those under a shingle of its prefix; of a group of copies, mostly what they are copies of.
+
+    Pairs that meet far less often than similar ones do are left out here: they
+    have another chance in ``across``, which leaves out none.
+    """
+    first = written(seen.groupBy("key").agg(F.max(F.struct("mid", "node", "n")).alias("head")), "heads")
     c = F.col
-    pairs = seen.select("key", "node").join(small(first, first.count()), "key").where(c("head.node") != c("node"))
-    often = pairs.groupBy(c("node").alias("a"), c("head.node").alias("b")).agg(F.count("*").alias("n"))
-    return often.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", c("best.b").alias("b"))
+    alike = F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9
+    pairs = seen.select("key", "node", "n").join(small(first, first.count()), "key").where((c("head.node") != c("node")) & alike)
+    often = pairs.groupBy(c("node").alias("a"), c("head.node").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("n", "head.n")).alias("n"))
+    best = often.where(3 * c("times") >= _needed("n", similarity)).groupBy("a").agg(F.max(F.struct("times", "b")).alias("best"))
+    return best.select("a", c("best.b").alias("b"))
+
 
+def _needed(n: Column | str, similarity: float) -> Column:
+    """Shingles of their prefixes that two sets share if they are similar, the smaller of ``n`` shingles."""
+    return F.least(F.lit(SHARED), F.ceil(similarity * (F.col(n) if isinstance(n, str) else n) - 1e-9))
 
-def across(seen: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of all texts of different ``groups (node, root)`` that share shingles enough in their prefixes, however large the buckets."""
+
+def across(seen: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of all texts of different ``groups (node, root)`` that share shingles enough in their prefixes, however large the buckets.
+
+    They meet at the first shingle that they share, where enough is left in
+    both; what meets is then counted by its whole prefixes.
+    """
     c = F.col
     rest = seen.select("key", "node", "n", "at").join(groups, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("g"))
-    both = (c("x.key") == c("y.key")) & (c("x.node") > c("y.node")) & (c("x.g") != c("y.g")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
-    pairs = rest.alias("x").join(rest.alias("y"), both)
-    open_ = _possible(c("x.n"), c("x.at"), c("y.n"), c("y.at"), similarity)
-    shared = pairs.groupBy(c("x.node").alias("a"), c("y.node").alias("b"), F.least("x.n", "y.n").alias("n")).agg(F.count("*").alias("shared"), F.bool_or(open_).alias("open"))
-    need = F.least(F.lit(SHARED), F.ceil(similarity * c("n") - 1e-9))
-    return shared.where(c("open") & (c("shared") >= need)).select("a", "b")
+    both = (c("x.key") == c("y.key")) & (c("x.node") > c("y.node")) & (c("x.g") != c("y.g")) & _possible(c("x.n"), c("x.at"), c("y.n"), c("y.at"), similarity)
+    pairs = written(rest.alias("x").join(rest.alias("y"), both).select(c("x.node").alias("a"), c("y.node").alias("b")).distinct(), "open")
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(c("node").alias(end), c("n").alias(f"n{end}"), c("prefix").alias(f"p{end}")), end)
+    return pairs.where(F.size(F.array_intersect("pa", "pb")) >= _needed(F.least("na", "nb"), similarity)).select("a", "b")
 
 
 def sets(docs: DataFrame, names: DataFrame, row: dict[str, Column], text_col: str, width: int) -> DataFrame:
@@ -184,8 +199,8 @@ def sets(docs: DataFrame, names: DataFrame, row: dict[str, Column], text_col: st
     return written(once.mapInArrow(of, "node long, s binary"), "sets")
 
 
-def decided(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose shingle sets, in ``held (node, s)``, are that similar; written."""
+def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, row: dict[str, Column], text_col: str, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose shingle sets are that similar; written. ``nodes (node, *row, __times)`` names a row of ``docs`` for each."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,10 +211,14 @@ def decided(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
                 keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs.distinct(), "pairs")
-    both = pairs
-    for end in ("b", "a"):  # only the sets that a side needs are shuffled
-        ends = written(pairs.select(F.col(end).alias("node")).distinct(), "ends")
-        needed = held.join(small(ends, ends.count(), SLIM_ROWS), "node", "left_semi")
-        both = both.join(needed.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"), "alike")
+    with scratch() as keep:
+        pairs = written(pairs.distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        names = written(nodes.select("node", *row, "__times").join(ends, "node", "left_semi"), "names")
+        held = sets(docs, names, row, text_col, width)
+        both = pairs
+        for end in ("b", "a"):  # only the sets that a side needs are shuffled
+            one = written(pairs.select(F.col(end).alias("node")).distinct(), "ends")
+            needed = held.join(small(one, one.count(), SLIM_ROWS), "node", "left_semi")
+            both = both.join(needed.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
+        return keep(written(both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"), "alike"))
