@@ -128,3 +128,45 @@ def test_bounded_entropy_of_many_names():
     found, mb = peak_mb(lambda: solvers.kl_project(b, np.zeros(5_000), 2 * b, [Linear("z", z, 0.2)]))
     assert mb < 20 and found.weights @ z >= 0.2 - 1e-7 and (found.weights <= 2 * b + 1e-9).all() and found.violation <= 1e-7
     assert solvers.violation(np.array([0.5, 0.7]), np.zeros(2), np.array([1.0, 0.6]), [Linear("r", np.array([1.0, 0.0]), 0.9)]) == pytest.approx(0.4)
+
+
+def test_projection_equals_splitting():
+    """The dual's weights are those of operator splitting, with groups and a factor row, infeasible ones included."""
+    rng = np.random.default_rng(6)
+    kinds = set()
+    for k in range(30):
+        n = int(rng.integers(5, 40))
+        g, b, z = rng.integers(0, 4, n), rng.random(n) ** 2, rng.normal(size=n)
+        b /= b.sum()
+        t = b * np.exp(rng.normal(size=n))
+        t /= t.sum()
+        room = (0.0, 0.02, 0.1)[k % 3]
+        rows = [Linear(f"g{v}", (g == v) * 1.0, b[g == v].sum() - room, b[g == v].sum() + room) for v in np.unique(g)] + [Linear("z", z, z @ b + (0.0, 0.1, 3.0)[k // 10])]
+        low, high = np.zeros(n), np.minimum(0.6, 3 * b)
+        try:
+            a, lower, upper = solvers._rows(n, low, high, rows, 1.0)
+            want = solvers.verified(*solvers.quadratic(np.eye(n), -t, a, lower, upper), low, high, rows).weights
+        except Infeasible:
+            want = None
+        kinds.add(want is None)
+        if want is None:
+            with pytest.raises(Infeasible):
+                solvers.closest(t, low, high, rows)
+        else:
+            assert solvers.closest(t, low, high, rows).weights == pytest.approx(want, abs=1e-7)
+    assert kinds == {True, False}
+
+
+def sectors(n, room):
+    rng = np.random.default_rng(7)
+    g, b = rng.integers(0, 5, n), rng.random(n)
+    b /= b.sum()
+    t = b * np.exp(0.3 * rng.normal(size=n) + 0.5 * (g == 1))
+    return t / t.sum(), b, [Linear(f"g{v}", (g == v) * 1.0, b[g == v].sum() - room, b[g == v].sum() + room) for v in range(5)]
+
+
+def test_projection_of_many_names():
+    """No dense table of names: 3,000 squared are 72 MB."""
+    t, b, rows = sectors(3_000, 0.02)
+    found, mb = peak_mb(lambda: solvers.closest(t, np.zeros(3_000), np.minimum(0.5, 3 * b), rows))
+    assert mb < 10 and found.violation < 1e-12
