@@ -170,3 +170,16 @@ def test_projection_of_many_names():
     t, b, rows = sectors(3_000, 0.02)
     found, mb = peak_mb(lambda: solvers.closest(t, np.zeros(3_000), np.minimum(0.5, 3 * b), rows))
     assert mb < 10 and found.violation < 1e-12
+
+
+def test_projection_limits_of_many_names():
+    """Limits hold to rounding among many names, and impossible ones are found without a dense table."""
+    t, b, rows = sectors(3_000, 0.0)
+    w = solvers.closest(t, np.zeros(3_000), np.minimum(0.5, 3 * b), rows).weights
+    assert (w <= 3 * b + 1e-12).all() and w.sum() == pytest.approx(1, abs=1e-12) and max(abs(r.coefficients @ w - r.upper) for r in rows) < 1e-12
+
+    def impossible():
+        with pytest.raises(Infeasible):
+            solvers.closest(t, np.zeros(3_000), np.minimum(0.5, 3 * b), [Linear("g", rows[0].coefficients, 0.99)])
+
+    assert peak_mb(impossible)[1] < 10
