@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -215,3 +216,34 @@ def test_relative_groups_and_investment(spark):
     w = construction.projected(c, construction.Limits(relative_groups={"sector": 0.1}, investment=0.8)).collect()
     a = sum(r["index_weight"] for r in w if r["sector"] == "a")
     assert sum(r["index_weight"] for r in w) == pytest.approx(0.8) and a == pytest.approx(0.44, abs=1e-6)
+
+
+def test_covariance_of_many_blocks(spark):
+    """Cells, diagonal and marginals of a panel with holes, in blocks of three names and wide ones of five, against plain loops."""
+    rng = random.Random(4)
+    x = {(f"n{i}", k): rng.gauss(0, 1) for i in range(17) for k in range(9) if rng.random() < 0.8 or i < 5}
+    x |= {("lone", 8): 1.0}
+    d = spark.createDataFrame([(i, D0 + dt.timedelta(days=k), r) for (i, k), r in x.items()], "instrument_id string, business_date date, r double")
+    names = sorted({i for i, _ in x})
+    weight = {i: rng.random() for i in names if i != "n3"}
+
+    def plain(i, j):
+        days = [k for k in range(9) if (i, k) in x and (j, k) in x]
+        if len(days) < 2:
+            return None
+        mean = [sum(x[n, k] for k in days) / len(days) for n in (i, j)]
+        return sum((x[i, k] - mean[0]) * (x[j, k] - mean[1]) for k in days) / (len(days) - 1)
+
+    wide, risk.WIDE = risk.WIDE, 5
+    try:
+        got = risk.covariance(d, "r", block=3).collect()
+        assert len(got) == len({(r["i"], r["j"]) for r in got})
+        for r in got:
+            assert r["cov"] == (None if (v := plain(r["i"], r["j"])) is None else pytest.approx(v, abs=1e-12))
+        assert {r["i"]: r["cov"] for r in got if r["i"] == r["j"]} == pytest.approx({r["instrument_id"]: r["variance"] for r in risk.variances(d, "r").collect()})
+        w = spark.createDataFrame(list(weight.items()), "instrument_id string, weight double")
+        found = {r["instrument_id"]: r["marginal"] for r in risk.marginal(d, "r", w, block=3).collect()}
+        want = {i: [v * weight[j] for j in weight if (v := plain(i, j)) is not None] for i in weight}
+        assert found == {i: pytest.approx(sum(v), abs=1e-12) if v else None for i, v in want.items()}
+    finally:
+        risk.WIDE = wide
