@@ -164,7 +164,7 @@ def risk_contributions(spark: SparkSession, sf: str) -> DataFrame:
     top = v.panel(spark, sf)
     w = top.groupBy("instrument_id").agg(F.sum("market_cap").alias("m"))
     w = w.join(F.broadcast(w.agg(F.sum("m").alias("t")))).select("instrument_id", (F.col("m") / F.col("t")).alias("weight"))
-    return risk.contributions(w, risk.covariance(top, "price_return"))
+    return risk.attributed(w, risk.marginal(top, "price_return", w))
 
 
 _LIQ = "WITH lq AS (SELECT effective_date, instrument_id, index_weight, market_cap / 21 AS traded, index_weight * 1e6 AS allocation_value, market_cap / 21 * 0.2 AS daily_trading_capacity FROM constituents), l2 AS (SELECT *, allocation_value / daily_trading_capacity AS days_to_trade, daily_trading_capacity * 2 / 1e6 AS capacity_weight_limit FROM lq), l3 AS (SELECT *, index_weight > capacity_weight_limit + 1e-8 AS capacity_breach FROM l2) "

@@ -247,3 +247,12 @@ def test_covariance_of_many_blocks(spark):
         assert found == {i: pytest.approx(sum(v), abs=1e-12) if v else None for i, v in want.items()}
     finally:
         risk.WIDE = wide
+
+
+def test_risk_contributions_never_make_the_table(spark):
+    """No row for two instruments leaves a task: at most a row for an instrument and a wide block."""
+    d = spark.createDataFrame([(f"n{i}", D0 + dt.timedelta(days=k), math.sin(k * (i + 1))) for i in range(40) for k in range(6)], "instrument_id string, business_date date, r double")
+    w = d.select("instrument_id").distinct().withColumn("weight", F.lit(1 / 40))
+    assert risk.attributed(w, risk.marginal(d, "r", w)).count() == 40
+    a, b = (sorted(map(tuple, x.select("instrument_id", "risk_contribution").collect())) for x in (risk.attributed(w, risk.marginal(d, "r", w)), risk.contributions(w, risk.covariance(d, "r"))))
+    assert [i for i, _ in a] == [i for i, _ in b] and [v for _, v in a] == pytest.approx([v for _, v in b])
