@@ -256,3 +256,21 @@ def test_risk_contributions_never_make_the_table(spark):
     assert risk.attributed(w, risk.marginal(d, "r", w)).count() == 40
     a, b = (sorted(map(tuple, x.select("instrument_id", "risk_contribution").collect())) for x in (risk.attributed(w, risk.marginal(d, "r", w)), risk.contributions(w, risk.covariance(d, "r"))))
     assert [i for i, _ in a] == [i for i, _ in b] and [v for _, v in a] == pytest.approx([v for _, v in b])
+
+
+@pytest.mark.parametrize("days", [8, 60])
+def test_factor_covariance_equals_dense(spark, days):
+    """From the shorter side, in blocks, as from the table of names by names; a date that a name misses takes no part."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(days, 20))
+    cells = [(f"n{i}", D0 + dt.timedelta(days=k), float(x[k, i]), "g") for i in range(20) for k in range(days) if (i, k) != (4, 2)]
+    d = spark.createDataFrame(cells, "instrument_id string, business_date date, r double, g string")
+    full = np.delete(x, 2, 0)
+    s = np.cov(full, rowvar=False)
+    values, vectors = np.linalg.eigh(s)
+    top = vectors[:, -3:] * np.sqrt(values[-3:])
+    want = top @ top.T + np.diag(np.maximum(np.diag(s) - (top**2).sum(1), 0)) + 1e-8 * np.eye(20)
+    got = risk.factor_covariance(d, "r", "g", block=6).collect()
+    assert len(got) == 400
+    for r in got:
+        assert r["cov"] == pytest.approx(want[int(r["i"][1:]), int(r["j"][1:])], abs=1e-10)
