@@ -106,9 +106,17 @@ def segments(calendar: DataFrame, applied: DataFrame, phase: Phase = Phase.OPEN)
 
 
 def normalised(weights: DataFrame) -> DataFrame:
-    """``(portfolio, effective_date, instrument_id, weight)`` with weights that sum to 1 by portfolio and review."""
-    total = weights.groupBy("portfolio", "effective_date").agg(F.sum("weight").alias("__total"))
-    return weights.join(total, ["portfolio", "effective_date"]).withColumn("weight", F.col("weight") / F.col("__total")).drop("__total")
+    """``(portfolio, effective_date, instrument_id, weight)`` with weights that sum to 1 by portfolio and review.
+
+    Totals do not depend on the order in which rows arrive: they add sorted
+    weights by a hash of the instrument, then these sums, sorted. So equal
+    weights give equal bits, which stored segments are named by.
+    """
+    by = ("portfolio", "effective_date")
+    added = lambda c: F.when(F.size(c) > 0, F.aggregate(F.sort_array(c), F.lit(0.0), lambda a, x: a + x))
+    parts = weights.groupBy(*by, F.pmod(F.xxhash64("instrument_id"), F.lit(256))).agg(added(F.collect_list(F.col("weight").cast("double"))).alias("__part"))
+    total = parts.groupBy(*by).agg(added(F.collect_list("__part")).alias("__total"))
+    return weights.join(total, list(by)).withColumn("weight", F.col("weight") / F.col("__total")).drop("__total")
 
 
 def both_portfolios(reviews: DataFrame) -> DataFrame:

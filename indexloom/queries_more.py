@@ -336,9 +336,12 @@ def simulation_resumed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("constituents", sql=_LOOP + _DAILY)
 def simulation_warm(spark: SparkSession, sf: str) -> DataFrame:
-    """A longer run whose first segments another run has stored: those are read, the rest is computed."""
-    panel, weights = _parts(spark, sf)
+    """A longer run whose first segments another run has stored: those are read, the rest is computed.
+
+    Both runs read one stored copy of their inputs: made again, sums could differ in their last digits, and segments would not be known again.
+    """
     s, how = store.temporary(spark), {"drift": "price"}
+    panel, weights = (s.load(s.save(d), verify=False) for d in _parts(spark, sf))
     short = simulation.held(panel.where("business_date < DATE '1998-01-01'"), weights.where("effective_date < DATE '1998-01-01'"), gaps=simulation.Gaps.CARRY)
     _, cold = segments.daily(s, short, how)
     whole = simulation.held(panel, weights, gaps=simulation.Gaps.CARRY)

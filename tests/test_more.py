@@ -274,3 +274,15 @@ def test_factor_covariance_equals_dense(spark, days):
     assert len(got) == 400
     for r in got:
         assert r["cov"] == pytest.approx(want[int(r["i"][1:]), int(r["j"][1:])], abs=1e-10)
+
+
+def test_normalised_weights_are_the_same_bits(spark):
+    """Whatever the order and partitions of its rows, a review's weights are equal to the last digit, so its segments are known again."""
+    rng = random.Random(8)
+    rows = [("index", "2026-01-01", f"n{i}", rng.random() * 10 ** rng.randint(-6, 6)) for i in range(3_000)]
+    made = []
+    for parts in (1, 3, 8):
+        rng.shuffle(rows)
+        d = spark.createDataFrame(rows, "portfolio string, effective_date string, instrument_id string, weight double").repartition(parts)
+        made.append({r["instrument_id"]: r["weight"] for r in simulation.normalised(d).collect()})
+    assert made[0] == made[1] == made[2] and sum(made[0].values()) == pytest.approx(1)
