@@ -28,6 +28,8 @@ TREES, SYMBOLS, SPAN, SEED = 64, 8, 8, 3
 BITS = 4  # of a symbol: one of SPAN coordinates, and a sign
 #: Rows of an index block; queries of a query block.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
+#: Blocks in a row group of their table: what its writer and its reader hold at once.
+GROUP_BLOCKS = 2
 #: Rows from which the centre is taken; queries on which the number of candidates is measured.
 FIT_ROWS, FIT_QUERIES = 4_096, 128
 RECALL = 0.96
@@ -129,18 +131,14 @@ def nearest(query: int, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
 
 
 def _met(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Each query block beside each index block: an equality join on the index block's number."""
-    n = index.count()
-    numbered = index.select(F.col("block"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"), F.col("strings").alias("r_strings"), F.col("places").alias("r_places"))
-    spread = queries.drop("places").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    return spread.join(numbered, "block").drop("block")
+    """Each query block beside each index block, by a product of the two tables' partitions.
 
-
-def _numbered(blocks: DataFrame, label: str) -> DataFrame:
-    """``blocks`` written, with numbers from 0 without gaps; only (file order) numbers pass the window, a row a block."""
-    held = written(blocks.withColumn("at", F.monotonically_increasing_id()), label)
-    numbers = held.select("at").withColumn("block", F.row_number().over(Window.orderBy("at")) - 1)
-    return written(held.join(F.broadcast(numbers), "at").drop("at"), f"{label}-numbered")
+    The hint keeps the planner from broadcasting either side: pairs stream
+    from the two tables as they are read, nothing of them passes the driver
+    and nothing is shuffled.
+    """
+    searched = index.select(*[F.col(c).alias(f"r_{c}") for c in ("ids", "vectors", "strings", "places")])
+    return searched.crossJoin(queries.drop("places").hint("shuffle_replicate_nl"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, seed: int = SEED) -> DataFrame:
@@ -164,8 +162,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     fit = rows.where(F.size("v") == dim).orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(FIT_ROWS).toArrow()
     sample = _valid(fit.column(0).combine_chunks(), fit.column(1).combine_chunks(), dim)[1]
     centre = sample.mean(0) if len(sample) else np.zeros(dim)
-    index = _numbered(_blocks(rows, dim, centre, BLOCK_ROWS, seed, ordered=True), "index")
-    asked = written(_blocks(asked.dropDuplicates(), dim, centre, BLOCK_QUERIES, seed), "queries")
+    index = written(_blocks(rows, dim, centre, BLOCK_ROWS, seed, ordered=True), "index", GROUP_BLOCKS)
+    asked = written(_blocks(asked.dropDuplicates(), dim, centre, BLOCK_QUERIES, seed), "queries", GROUP_BLOCKS)
     picked = queries.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(FIT_QUERIES)
     tried = np.array([r["id"] for r in picked.collect()], np.int64)
 
@@ -198,7 +196,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     levels = counts.select(F.col("query_id"), deepest.alias("level"))
     # the level of each query goes back into its block
     flat = asked.select(F.monotonically_increasing_id().alias("b"), "*")
-    flat = written(flat, "asked")
+    flat = written(flat, "asked", GROUP_BLOCKS)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +229,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         """Up to ``k`` rows a block for each query of ``levels (query_id, level)``; the others (-1) are passed over."""
         placed = places.join(levels, "query_id", "left").select("b", "i", F.coalesce("level", F.lit(-1)).alias("level"))
         by_block = placed.groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "level"))), lambda x: x["level"]).alias("at"))  # a query block's at most
-        met = _met(flat.join(by_block, "b").drop("b"), index)
+        by_block = by_block.where(F.exists("at", lambda level: level >= 0))
+        met = _met(written(flat.join(by_block, "b").drop("b"), "levelled", GROUP_BLOCKS), index)
         return written(met.mapInArrow(find, "query_id long, vec_id long, score double"), "found")
 
     levels = written(levels, "levels-of")

@@ -791,6 +791,15 @@ def test_neighbours_of_isolated_vectors(spark):
     assert found == dict.fromkeys([*range(0, 1000, 10), *range(1000, 1004)], 10)
 
 
+def test_neighbours_blocks_are_not_broadcast(spark):
+    """Small tables of query blocks, which the planner broadcast times all index blocks: each pair once, without a broadcast."""
+    cells = [(k, *[bytes([k])] * 4) for k in range(5)]
+    index = spark.createDataFrame(cells, "block int, ids binary, vectors binary, strings binary, places binary")
+    met = prefix_forest._met(index.drop("block").limit(3), index)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["ids"][0], r["r_ids"][0]) for r in met.collect()) == [(q, k) for q in range(3) for k in range(5)]
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.1]), (9, [])]
