@@ -102,3 +102,18 @@ def business_days(start: Column | str, end: Column | str) -> Column:
     """Mondays to Fridays from ``start`` on and before ``end``, plus one."""
     a, b = col(start), col(end)
     return 1 + F.when(b > a, F.size(F.filter(F.sequence(a, F.date_sub(F.greatest(b, F.date_add(a, 1)), 1)), lambda d: F.weekday(d) < 5))).otherwise(0)
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of a column, rounded at the end only, so that it does not depend on the order of rows.
+
+    Values are cut into two whole numbers, of 2^-20 and of 2^-62, whose sums
+    are exact. Where these do not do (2^32 and beyond, not finite, or so many
+    rows that whole numbers overflow) it is the plain sum.
+    """
+    x = value.cast("double")
+    fits = F.abs(x) < 2.0**32
+    high = F.when(fits, F.floor(x * 2.0**20))
+    low = F.when(fits, ((x - high / 2.0**20) * 2.0**62).cast("long"))
+    exact = F.try_sum(high) / 2.0**20 + F.try_sum(low) / 2.0**62
+    return F.coalesce(F.when(F.max(F.abs(x)) < 2.0**32, exact), F.sum(x))

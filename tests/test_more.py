@@ -1,6 +1,7 @@
 """Routing of solvers, caches, runs, resumption and column functions."""
 
 import datetime as dt
+import itertools
 import math
 import random
 
@@ -9,11 +10,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from indexloom.functions.columns import chi_square_tail, normal_cdf
+from indexloom.functions.columns import chi_square_tail, exact_sum, normal_cdf
 from indexloom.operators import construction, quality, reviews, risk, routing, scenarios, simulation, solvers
 from indexloom.operators.simulation import Drift, Gaps, Phase
 from indexloom.plans import caches, store
-from indexloom.sources import calendars, providers
+from indexloom.sources import calendars, providers, views
 from tests.test_simulation import D0, REVIEWS, market
 
 PANEL = "instrument_id string, business_date date, price_return double, gross_dividend double, net_dividend double, market_cap double"
@@ -33,6 +34,31 @@ def test_chi_square_tail(spark):
     assert [r[0] for r in d.select(chi_square_tail("x", "df")).collect()] == pytest.approx([0.05] * len(points), rel=1e-9)
 
 
+def test_exact_sum(spark):
+    rng = random.Random(3)
+    groups = {0: [], 1: [None], 2: [0.1], 3: [0.1, None, 0.2], 4: [rng.uniform(-1e5, 1e5) for _ in range(200)], 5: [1e300, 1.0], 6: [math.inf, 1.0], 7: [4e9] * 3000, 8: [1e-30, 0.0]}
+    d = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double")
+    got = {r["k"]: r["s"] for r in d.groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()}
+    assert got == {1: None, 2: 0.1, 3: 0.1 + 0.2, 4: math.fsum(groups[4]), 5: 1e300, 6: math.inf, 7: 1.2e13, 8: 0.0} and 0 not in got
+
+
+def test_quality_does_not_depend_on_the_order_of_lines(spark, tmp_path):
+    """Three lines at 5 %: whether their quality is above 0.05 depended on the order in which they were added."""
+    rng = random.Random(1)
+
+    def above(prices):
+        a = b = 0.0
+        for p in prices:
+            a, b = a + p * 0.05, b + p
+        return a / b > 0.05
+
+    prices = next(p for p in iter(lambda: [round(rng.uniform(900, 1e5), 2) for _ in range(3)], None) if len({above(o) for o in itertools.permutations(p)}) == 2)
+    lines = [(k, dt.datetime(1998, 12, 5), p, 0.05, 0.0, 30.0) for k, order in enumerate(itertools.permutations(prices)) for p in order]
+    d = spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_discount double, l_tax double, l_quantity double")
+    d.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert views.panel(spark, str(tmp_path)).select("margin", "market_cap").distinct().count() == 1
+
+
 def test_draws(spark):
     d = spark.createDataFrame([(k, f"i{k % 7}") for k in range(500)], "n long, instrument_id string")
     out = scenarios.drawn(d, 3, 900)
