@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, normal_cdf
-from . import solvers
+from . import risk, solvers
 from .reviews import REVIEW
 
 
@@ -208,6 +208,29 @@ def minimum_variance(df: DataFrame, cov: DataFrame, limits: Limits, by: str = RE
     return _per_review(joined.select(*names, "__cov"), solve, by).drop("__cov")
 
 
+def least_variance(df: DataFrame, panel: DataFrame, column: str, limits: Limits, by: str = REVIEW, least: int = 2, ridge: float = 1e-8) -> DataFrame:
+    """``minimum_variance`` with the ``risk.covariance`` of each review's ``panel``, whose table is never made.
+
+    Each instrument's row carries its returns, so a review's task grows with
+    names times dates. Names without returns, and reviews of which two names
+    share fewer than ``least`` dates, have no weights.
+    """
+    d = risk.observed(panel, column, [by]).groupBy(by, "instrument_id", F.unix_date(F.to_date("business_date")).alias("t")).agg(F.last("r").alias("r"))
+    d = d.groupBy(by, "instrument_id").agg(F.collect_list(F.struct("t", "r")).alias("x"))
+    d = d.select(by, "instrument_id", F.col("x.t").alias("__t"), F.col("x.r").alias("__r"))
+    names = [c for c in df.columns if c not in ("index_weight", "solver_status")]
+
+    def solve(pdf: pd.DataFrame) -> solvers.Solution:
+        at = np.repeat(np.arange(len(pdf)), pdf["__t"].map(len))
+        dates, when = np.unique(np.concatenate(pdf["__t"].tolist()), return_inverse=True)
+        x = np.full((len(pdf), len(dates)), np.nan)
+        x[at, when] = np.concatenate(pdf["__r"].tolist())
+        b = _benchmark(pdf)
+        return solvers.least_variance(solvers.pairwise(x, least).positive(ridge), *limits.bounds(pdf, b), limits.rows(pdf, b), limits.investment)
+
+    return _per_review(df.select(*names).join(d, [by, "instrument_id"]), solve, by).drop("__t", "__r")
+
+
 def entropy_targets(df: DataFrame, targets: Sequence[Exposure], limits: Limits | None = None, mode: str = "hard", penalty: float = 100.0, by: str = REVIEW) -> DataFrame:
     """Weights of least relative entropy to the benchmark that meet exposure targets.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import comparison, construction, risk, scenarios
+from .operators import comparison, construction, scenarios
 from .operators.construction import Criterion, Exposure, Limits, Tilt, Weighting
 from .queries import query
 from .sources import calendars, contracts, providers, rules
@@ -103,8 +103,7 @@ def minimum_variance_weights(spark: SparkSession, sf: str) -> DataFrame:
     known = past.groupBy("effective_date", "instrument_id").agg(F.count("price_return").alias("n")).where("n >= 15").drop("n")
     past, top = past.join(known, ["effective_date", "instrument_id"]), refs.join(known, ["effective_date", "instrument_id"])
     top = top.withColumn("benchmark_weight", F.col("benchmark_weight") / F.sum("benchmark_weight").over(Window.partitionBy("effective_date")))
-    cov = risk.covariance(past, "price_return", ["effective_date"])
-    return construction.minimum_variance(top, cov, Limits(maximum=0.15, groups={"industry": 0.1})).select("effective_date", "instrument_id", "index_weight", "solver_status")
+    return construction.least_variance(top, past, "price_return", Limits(maximum=0.15, groups={"industry": 0.1})).select("effective_date", "instrument_id", "index_weight", "solver_status")
 
 
 @query()

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from indexloom.operators import construction, solvers
+from indexloom.operators import construction, risk, solvers
 from indexloom.operators.construction import Criterion, Exposure, Limits, Tilt
 from indexloom.operators.solvers import Infeasible, Linear
 
@@ -183,3 +183,76 @@ def test_projection_limits_of_many_names():
             solvers.closest(t, np.zeros(3_000), np.minimum(0.5, 3 * b), [Linear("g", rows[0].coefficients, 0.99)])
 
     assert peak_mb(impossible)[1] < 10
+
+
+def returns(n, t, gaps, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 0.03, (n, t)) + rng.normal(0, 0.01, t)
+    x[rng.random((n, t)) < gaps] = np.nan
+    return x
+
+
+@pytest.mark.parametrize(("n", "t", "gaps"), [(60, 24, 0.1), (60, 24, 0.0), (200, 24, 0.02), (30, 8, 0.0), (40, 60, 0.0), (5, 24, 0.0)])
+def test_least_variance_is_the_dense_one(n, t, gaps):
+    """Factored covariances are the pairwise ones, and their weights those of the dense solver."""
+    x, ridge = returns(n, t, gaps, n + t), 1e-8
+    cov = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            cov[i, j] = np.cov(x[i][both], x[j][both])[0, 1]
+    cov = (cov + cov.T) / 2 + ridge * np.eye(n)
+    cov -= min(np.linalg.eigvalsh(cov).min(), 0) * np.eye(n)
+    found = solvers.pairwise(x).positive(ridge)
+    assert found @ np.eye(n) == pytest.approx(cov, abs=1e-13 * np.abs(cov).max())
+    rng = np.random.default_rng(0)
+    g, low, high = rng.integers(0, 3, n), np.zeros(n), np.full(n, 0.5)
+    high[0], low[1] = 0.0, 0.01
+    rows = [Linear(f"g{k}", (g == k) * 1.0, (g == k).mean() - 0.05, (g == k).mean() + 0.05) for k in range(3)] + [Linear("x", rng.normal(size=n), 0.02, 0.02), Linear("y", rng.normal(size=n), -0.3)]
+    if n == 5:
+        rows = []
+    want = solvers.minimum_variance(cov, low, high, rows).weights
+    got = solvers.least_variance(found, low, high, rows).weights
+    assert got == pytest.approx(want, abs=1e-7) and got @ cov @ got <= want @ cov @ want * (1 + 1e-9)
+
+
+def test_least_variance_of_many_names():
+    """3,000 names without a dense table (72 MB): limits hold, and no feasible move lowers the variance."""
+    x, n = returns(3_000, 24, 0.001, 1), 3_000
+    _, b, rows = sectors(n, 0.02)
+    cov = solvers.pairwise(x).positive(1e-8)
+    low, high = np.zeros(n), np.full(n, 0.15)
+    found, mb = peak_mb(lambda: solvers.least_variance(cov, low, high, rows))
+    assert mb < 30 and found.violation < 1e-12
+    slope = cov @ found.weights
+    for g in rows:  # within a class, what is held has the least slope
+        inside = g.coefficients == 1
+        held = inside & (found.weights > 1e-10)
+        assert slope[held].max() - slope[inside].min() <= 1e-9 * np.abs(slope).max()
+
+
+def test_least_variance_that_cannot_be():
+    x = returns(6, 8, 0.0, 2)
+    cov = solvers.pairwise(x).positive(1e-8)
+    with pytest.raises(Infeasible):
+        solvers.least_variance(cov, np.zeros(6), np.full(6, 0.1))
+    with pytest.raises(Infeasible):
+        solvers.least_variance(cov, np.zeros(6), np.ones(6), [Linear("x", np.ones(6), 2.0)])
+    x[0, :4], x[1, 4:] = np.nan, np.nan
+    with pytest.raises(Infeasible):
+        solvers.pairwise(x)
+
+
+def test_least_variance_by_review(spark):
+    """The operator gives the weights of the one that is given covariances; odd rows of the panel take no part."""
+    dates = [f"2020-{m:02d}-01" for m in range(1, 13)]
+    x = returns(12, 12, 0.1, 4)
+    panel = [(e, f"i{k}", d, float(x[k, t])) for e in ("2021-01-01", "2022-01-01") for k in range(12) for t, d in enumerate(dates) if x[k, t] == x[k, t]]
+    panel += [("2021-01-01", "i0", None, 0.5), ("2021-01-01", None, dates[0], 0.5), ("2021-01-01", "i1", "2020-12-15", None), ("2021-01-01", "i1", "2020-12-16", float("nan"))]
+    p = spark.createDataFrame(panel, "effective_date string, instrument_id string, d string, r double").selectExpr("effective_date", "instrument_id", "to_date(d) AS business_date", "r")
+    df = spark.createDataFrame([(e, f"i{k}", 1.0, "AB"[k % 2]) for e in ("2021-01-01", "2022-01-01") for k in range(12)], "effective_date string, instrument_id string, benchmark_weight double, industry string")
+    limits = Limits(maximum=0.3, groups={"industry": 0.1})
+    got = {(r["effective_date"], r["instrument_id"]): r for r in construction.least_variance(df, p, "r", limits).collect()}
+    want = construction.minimum_variance(df, risk.covariance(p, "r", ["effective_date"]), limits).collect()
+    assert len(got) == len(want) == 24 and {r["solver_status"] for r in got.values()} == {"solved"}
+    assert [got[r["effective_date"], r["instrument_id"]]["index_weight"] for r in want] == pytest.approx([r["index_weight"] for r in want], abs=1e-8)
