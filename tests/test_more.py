@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -302,6 +303,38 @@ def test_factor_covariance_equals_dense(spark, days):
         assert r["cov"] == pytest.approx(want[int(r["i"][1:]), int(r["j"][1:])], abs=1e-10)
 
 
+def test_factor_covariance_meets_in_squares(spark):
+    """Groups of different sizes, in several blocks of loadings or one, with more factors than dates give: each two names of a group once."""
+    rng = np.random.default_rng(4)
+    sizes = {"g": 11, "h": 3}
+    x = {g: rng.normal(size=(4, n)) for g, n in sizes.items()}
+    cells = [(f"n{i}", D0 + dt.timedelta(days=k), float(x[g][k, i]), g) for g, n in sizes.items() for i in range(n) for k in range(4)]
+    d = spark.createDataFrame(cells, "instrument_id string, business_date date, r double, g string")
+    for square, factors in ((2, 6), (4, 1), (64, 6)):
+        want = {}
+        for g, n in sizes.items():
+            s = np.cov(x[g], rowvar=False)
+            values, vectors = np.linalg.eigh(s)
+            top = (vectors * np.sqrt(np.maximum(values, 0)))[:, -min(factors, n) :]
+            m = top @ top.T + np.diag(np.maximum(np.diag(s) - (top**2).sum(1), 0)) + 1e-8 * np.eye(n)
+            want |= {(g, f"n{i}", f"n{j}"): m[i, j] for i in range(n) for j in range(n)}
+        got = risk.factor_covariance(d, "r", "g", factors=factors, block=3, square=square).collect()
+        assert len(got) == len(want) == 130
+        assert {(r["g"], r["i"], r["j"]): r["cov"] for r in got} == pytest.approx(want, abs=1e-10)
+
+
+def test_factor_covariance_fits_once_and_makes_cells_as_rows(spark):
+    """Two fits may differ by the signs of eigenvectors, and batches of cells would take memory of Python workers and executors."""
+    d = spark.createDataFrame([(f"n{i}", D0 + dt.timedelta(days=k), math.sin(k * (i + 1)), "g") for i in range(5) for k in range(4)], "instrument_id string, business_date date, r double, g string")
+    made = risk.factor_covariance(d, "r", "g")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"FlatMapGroupsInPandas.* fit\(", plan)) == 1 and "MapInArrow" not in plan
+    assert len(made.collect()) == 25
+    # two explodes in one generated stage (marked *) would hold a square of cells before the first leaves
+    final = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"\*\(\d+\) Generate explode\(__[ab]", final)) == 1 and re.search(r"- Generate explode\(transform\(__a", final)
+
+
 def test_normalised_weights_are_the_same_bits(spark):
     """Whatever the order and partitions of its rows, a review's weights are equal to the last digit, so its segments are known again."""
     rng = random.Random(8)
