@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import scratch, written
+from .common import lean, scratch, written
 
 LINES = 3
 #: Windows emitted at a time; bounds what a text of very many lines adds to a batch.
@@ -55,7 +55,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, lines: int) -> DataFram
             if size:
                 yield block()
 
-    return rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, th long, pos int, h1 long, h2 long")
+    return rows.mapInArrow(lean(of), f"id {rows.schema['id'].dataType.simpleString()}, th long, pos int, h1 long, h2 long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:

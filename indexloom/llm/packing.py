@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LENGTH = 1024
 #: Documents to a group, about.
 GROUP_DOCS = 8_192
@@ -134,7 +136,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                         column.append(value)
             yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, kinds)], schema=kinds)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(of, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(of), schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = SEED, with_ids: bool = False) -> DataFrame:

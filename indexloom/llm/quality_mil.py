@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back, lean
+
 PASSAGE_WORDS = 64
 #: Labelled rows to fit on at most, whole, and characters of them together.
 FIT_DOCS, FIT_CHARS = 4_000, 64_000_000
@@ -252,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [(ids[i], hashes[i], found[i], x.tobytes()) for i, x in bags(batch.column(2).to_pylist())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else ((), (), (), ()), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["id", "th", "label", "x"])
 
-    measured = found.select(F.col("__id").cast("long"), "__th", "text", "__label").mapInArrow(measure, "id long, th long, label int, x binary")
+    measured = found.select(F.col("__id").cast("long"), "__th", "text", "__label").mapInArrow(lean(measure), "id long, th long, label int, x binary")
     once = measured.groupBy("id", "th", "label").agg(F.first("x").alias("x"))  # rows equal in id and text
     held = once.toArrow().sort_by([("id", "ascending"), ("th", "ascending")])
     data = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in held.column("x").to_pylist()]
@@ -266,7 +268,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(scores_of(model, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(of), "doc_id long, score double")
 
 
 def scores_of(model: Model, texts: pa.Array) -> np.ndarray:
@@ -292,13 +294,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **how) -> DataFrame:
-    """Rows of ``docs``, all their columns, whose text scores ``least`` or more."""
+    """Rows of ``docs``, all their columns, whose text scores ``least`` or more.
+
+    Rows stay in the JVM: workers get texts and return scores.
+    """
     model = learn(docs, labels, id_col, text_col, **how)
-    schema = docs.schema
-    at = docs.columns.index(text_col)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(scores_of(model, batch.column(at)) >= least))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(scores_of(model, texts), pa.float64())
+            del texts
+            give_back()
 
-    return docs.mapInArrow(keep, schema)
+    return docs.where(F.arrow_udf(of, "double")(F.col(text_col).cast("string")) >= least)

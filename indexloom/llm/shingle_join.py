@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import scratch, small, written
+from .common import lean, scratch, small, written
 
 #: Shingles counted at a time; of a block's, those that it has more than once are counted over all blocks.
 BLOCK = 1 << 20
@@ -78,7 +78,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int, ranked: int =
         if size:
             yield counted()
 
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(of, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(lean(of), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "s").limit(ranked).toArrow()
     s, n = (top.column(c).combine_chunks().to_numpy() for c in (0, 1))
     s = s.view(np.uint64)
@@ -116,7 +116,7 @@ def prefixes(docs: DataFrame, row: list[Column], text_col: str, width: int, simi
             yield pa.record_batch([*batch.columns[:own], *(pa.array(c, k) for c, k in zip(cells, kinds))], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:own])
-    return rows.mapInArrow(of, f"{schema}, node long, fp long, n int, mid double, prefix array<long>")
+    return rows.mapInArrow(lean(of), f"{schema}, node long, fp long, n int, mid double, prefix array<long>")
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -196,7 +196,7 @@ def sets(docs: DataFrame, names: DataFrame, row: dict[str, Column], text_col: st
     once = found.where("__times = 1").drop("__times")
     if not names.where("__times > 1").isEmpty():  # rows equal in all columns
         once = once.unionByName(found.where("__times > 1").drop("__times").dropDuplicates(["node"]))
-    return written(once.mapInArrow(of, "node long, s binary"), "sets")
+    return written(once.mapInArrow(lean(of), "node long, s binary"), "sets")
 
 
 def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, row: dict[str, Column], text_col: str, width: int, similarity: float) -> DataFrame:
@@ -221,4 +221,4 @@ def decided(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, row: dict[str,
             one = written(pairs.select(F.col(end).alias("node")).distinct(), "ends")
             needed = held.join(small(one, one.count(), SLIM_ROWS), "node", "left_semi")
             both = both.join(needed.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
-        return keep(written(both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"), "alike"))
+        return keep(written(both.select("a", "b", "sa", "sb").mapInArrow(lean(judge), "a long, b long"), "alike"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small, written
+from .common import lean, scratch, small, written
 from .components import components
 from .simhash_kernel import fingerprint
 
@@ -36,7 +36,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), fps], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, fp long")
+    return rows.mapInArrow(lean(of), "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

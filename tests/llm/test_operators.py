@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from indexloom.llm import chat_tools, components, html_consensus, html_page, license_join, line_windows, mixing, near_duplicates, packing, prefix_forest, quality_mil, rule_cascade, simhash
+from indexloom.llm.common import lean
 from indexloom.llm.simhash_kernel import fingerprint
 
 DOCS = "doc_id long, text string, source string, size long, fp long, key string, row long, words string, score double"
@@ -383,6 +384,38 @@ def test_classifier_odd(spark, odd, none):
     assert quality_mil.accepted(odd, empty).columns == odd.columns
 
 
+def test_accepted_rows_stay_in_jvm(spark, odd):
+    """Python workers get texts and return scores, not rows; null texts, null and repeated ids are judged like any."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    good = quality_mil.accepted(odd, labels)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    judged = Counter((r["doc_id"], r["predicted"]) for r in quality_mil.classify(odd, labels).collect())
+    assert Counter(r["doc_id"] for r in good.collect()) == Counter({i: n for (i, p), n in judged.items() if p})
+    assert {tuple(r) for r in good.collect()} <= {tuple(r) for r in odd.collect()}
+    assert Counter(quality_mil.accepted(odd, labels, least=0.0).collect()) == Counter(odd.collect())
+
+
+def test_workers_give_memory_back():
+    """What a batch has left in the allocator goes back to the system, between batches and after the last."""
+    import resource
+
+    pins, seen = [], []
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize()
+
+    def of(batches):
+        for _ in batches:
+            seen.append(resident() - before)
+            held = [b"x" * 100_000 for _ in range(1_000)]
+            pins.extend(held[::50])
+            yield len(held)
+            del held
+
+    before = resident()
+    assert list(lean(of)(iter(range(3)))) == [1_000] * 3
+    assert max(*seen, resident() - before) < 50e6
+
+
 # -- pages -----------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
