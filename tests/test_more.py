@@ -15,6 +15,7 @@ from indexloom.functions.columns import chi_square_tail, exact_sum, normal_cdf
 from indexloom.operators import construction, quality, reviews, risk, routing, scenarios, simulation, solvers
 from indexloom.operators.simulation import Drift, Gaps, Phase
 from indexloom.plans import caches, store
+from indexloom.registry import QUERIES
 from indexloom.sources import calendars, providers, views
 from tests.test_simulation import D0, REVIEWS, market
 
@@ -335,6 +336,39 @@ def test_factor_covariance_fits_once_and_makes_cells_as_rows(spark):
     assert len(re.findall(r"\*\(\d+\) Generate explode\(__[ab]", final)) == 1 and re.search(r"- Generate explode\(transform\(__a", final)
 
 
+def test_factor_covariance_without_complete_dates(spark):
+    """Each date misses a name and a block of names may miss a date: refused, or all dates with the names' own variances."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9, 8))
+    for k in range(9):
+        x[k, k % 7] = np.nan
+    x[:-1, 7] = np.nan
+    cells = [(f"n{i}", D0 + dt.timedelta(days=k), float(x[k, i]), "g") for i in range(8) for k in range(9) if not np.isnan(x[k, i])]
+    d = spark.createDataFrame(cells, "instrument_id string, business_date date, r double, g string")
+    with pytest.raises(Exception, match="fewer than two dates"):
+        risk.factor_covariance(d, "r", "g").collect()
+    y = x[:, :7] - np.nanmean(x[:, :7], 0)
+    s = np.nan_to_num(y) / np.sqrt((~np.isnan(y)).sum(0) - 1)
+    values, vectors = np.linalg.eigh(s.T @ s)
+    top = vectors[:, -3:] * np.sqrt(values[-3:])
+    want = top @ top.T + np.diag(np.diag(s.T @ s) - (top**2).sum(1) + 1e-8)
+    for block in (2, 64):
+        got = {(r["i"], r["j"]): r["cov"] for r in risk.factor_covariance(d, "r", "g", block=block, square=3, holes=True).collect()}
+        assert len(got) == 64 and {k for k, v in got.items() if v is None} == {k for k in got if "n7" in k}
+        assert {k: v for k, v in got.items() if v is not None} == pytest.approx({(f"n{i}", f"n{j}"): want[i, j] for i in range(7) for j in range(7)}, abs=1e-10)
+    own = {r["instrument_id"]: r["variance"] for r in risk.variances(d, "r").collect()}
+    assert all((got[i, i] is None) == (v is None) and (v is None or got[i, i] == pytest.approx(v + 1e-8)) for i, v in own.items())
+
+
+def test_factor_model_query_of_sparse_months(spark, tmp_path):
+    """Many suppliers leave no month complete; the query still has a row for each two."""
+    lines = [(s, dt.datetime(1995, 1 + m, 5), 0.01 * (1 + (s * m + s) % 9)) for s in range(6) for m in range(6) if m != s]
+    d = spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_discount double")
+    d.select("*", *[F.lit(1.0).alias(c) for c in ("l_tax", "l_extendedprice", "l_quantity")]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["covariance_factor_model"](spark, str(tmp_path)).collect()
+    assert len(got) == 36 and all(r["cov"] is not None for r in got)
+
+
 def test_normalised_weights_are_the_same_bits(spark):
     """Whatever the order and partitions of its rows, a review's weights are equal to the last digit, so its segments are known again."""
     rng = random.Random(8)
