@@ -277,6 +277,22 @@ def test_covariance_of_many_blocks(spark):
         risk.WIDE = wide
 
 
+def test_covariance_packs_once_and_counts_keys_alone(spark):
+    """Blocks were packed twice, from a panel that was aggregated once more to be counted: half as much disk again."""
+    lines = spark.createDataFrame([(f"n{i}", D0 + dt.timedelta(days=k % 6), math.sin(k * (i + 1))) for i in range(9) for k in range(12)], "instrument_id string, business_date date, r double")
+    panel = lines.groupBy("instrument_id", "business_date").agg(F.avg("r").alias("r"))
+    plan = risk.covariance(panel, "r", block=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"FlatMapGroupsInPandas.* pack\(", plan)) == 1
+    counted = []
+    first, frame = type(panel).first, type(panel)
+    frame.first = lambda self: counted.append(self._jdf.queryExecution().optimizedPlan().toString()) or first(self)
+    try:
+        assert risk._sizes(panel, [], 2) == (5, 1, 1)
+    finally:
+        frame.first = first
+    assert counted and "avg(" not in counted[0] and "Aggregate [instrument_id" not in counted[0].replace("#", " ").split("Expand")[-1]
+
+
 def test_risk_contributions_never_make_the_table(spark):
     """No row for two instruments leaves a task: at most a row for an instrument and a wide block."""
     d = spark.createDataFrame([(f"n{i}", D0 + dt.timedelta(days=k), math.sin(k * (i + 1))) for i in range(40) for k in range(6)], "instrument_id string, business_date date, r double")
