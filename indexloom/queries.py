@@ -240,7 +240,7 @@ _REASONS = "WITH rs AS (SELECT DISTINCT effective_date, instrument_id, unnest(li
 
 def _with_reasons(spark: SparkSession, sf: str) -> DataFrame:
     why = F.array_compact(F.array(F.when(F.col("quality") > 0.05, "quality"), F.when(F.col("quantity") >= 25, "size"), F.when(F.col("account_balance") > 0, " balance "), F.lit("")))
-    return v.constituents(spark, sf).withColumn("selection_reason", why)
+    return v.constituents(spark, sf, as_read=True).withColumn("selection_reason", why)
 
 
 @query("constituents", sql=_REASONS + "SELECT * FROM rt")

@@ -3,10 +3,14 @@
 import datetime as dt
 import itertools
 import math
+import os
 import random
 import re
+import shutil
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,8 +19,9 @@ from indexloom.functions.columns import chi_square_tail, exact_sum, normal_cdf
 from indexloom.operators import construction, quality, reviews, risk, routing, scenarios, simulation, solvers
 from indexloom.operators.simulation import Drift, Gaps, Phase
 from indexloom.plans import caches, store
-from indexloom.registry import QUERIES
+from indexloom.registry import ORACLE_SQL, QUERIES
 from indexloom.sources import calendars, providers, views
+from tests.oracle import connect, differences
 from tests.test_simulation import D0, REVIEWS, market
 
 PANEL = "instrument_id string, business_date date, price_return double, gross_dividend double, net_dividend double, market_cap double"
@@ -368,6 +373,33 @@ def test_quality_is_that_of_every_order_of_lines(spark, tmp_path):
     assert "Window" not in panel.drop("margin")._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("files", [1, 2])
+def test_quality_takes_lines_as_the_sql_reads_them(spark, sf, tmp_path, files):
+    """Three lines at 5 %, whose quality depends on their order, in each order: sums by ascending price gave all the same."""
+    prices = next(t for t in itertools.combinations([round(900 + 137.31 * k, 2) for k in range(40)], 3) if len({_quality(o) > 0.05 for o in itertools.permutations(t)}) == 2)
+    orders = list(itertools.permutations(prices))
+    for t in ("supplier", "nation", "region"):
+        shutil.copy(f"{sf}/{t}.parquet", tmp_path)
+    os.mkdir(tmp_path / "lineitem.parquet")
+    for n in range(files):  # the lines of a supplier go on in the next file
+        lines = [(k, dt.datetime(1998, 12, 5), p, 0.05, 0.0, 30.0) for place in range(n * 3 // files, (n + 1) * 3 // files) for k, p in enumerate((o[place] for o in orders), 1)]
+        names = ["l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax", "l_quantity"]
+        pq.write_table(pa.Table.from_pydict(dict(zip(names, map(list, zip(*lines))))), tmp_path / "lineitem.parquet" / f"part-{n}.parquet")
+    found = {int(r["instrument_id"]): r["margin"] for r in views.panel(spark, str(tmp_path), as_read=True).collect()}
+    assert found == {k: _quality(o) for k, o in enumerate(orders, 1)} and len({m > 0.05 for m in found.values()}) == 2
+    duck = connect(tmp_path)
+    duck.execute("SET threads = 1")
+    for name in ("selection_reasons", "selection_reason_summary"):
+        assert differences(QUERIES[name](spark, str(tmp_path)).toPandas(), duck.execute(ORACLE_SQL[name]).fetchdf()) == []
+
+
+def _quality(prices):
+    a = b = 0.0
+    for p in prices:
+        a, b = a + p * 0.05, b + p
+    return a / b
+
+
 def test_factor_covariance_without_complete_dates(spark):
     """Each date misses a name and a block of names may miss a date: refused, or all dates with the names' own variances."""
     rng = np.random.default_rng(6)
