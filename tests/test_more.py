@@ -298,6 +298,26 @@ def test_covariance_packs_once_and_counts_keys_alone(spark):
     assert counted and "avg(" not in counted[0] and "Aggregate [instrument_id" not in counted[0].replace("#", " ").split("Expand")[-1]
 
 
+@pytest.mark.parametrize("block", [64, 55])
+def test_covariance_is_stored_in_less_than_its_doubles(spark, tmp_path, block):
+    """Both halves of the table are there, side by side, so that a file holds a covariance once: before, 8 bytes a row and more."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12, 600))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    cells = [(f"n{i}", D0 + dt.timedelta(days=k), float(x[k, i])) for k, i in zip(*(a.tolist() for a in np.nonzero(~np.isnan(x))))]
+    d = spark.createDataFrame(cells, "instrument_id string, business_date date, r double")
+    risk.shrunk(risk.covariance(d, "r", block=block), 0.3).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas()
+    i, j = (got[c].str[1:].astype(int).to_numpy() for c in "ij")
+    assert len(got) == len(set(zip(i, j))) == 360_000
+    has = ~np.isnan(x)
+    n = has.T.astype(float) @ has
+    z = np.where(has, x, 0.0)
+    want = (z.T @ z - (z.T @ has) * (has.T @ z) / n) / (n - 1) * np.where(np.eye(600) > 0, 1, 0.7)
+    assert np.allclose(got["cov"], want[i, j], rtol=0, atol=1e-12) and (got["observations"] == n[i, j]).all()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7 * len(got)
+
+
 def test_risk_contributions_never_make_the_table(spark):
     """No row for two instruments leaves a task: at most a row for an instrument and a wide block."""
     d = spark.createDataFrame([(f"n{i}", D0 + dt.timedelta(days=k), math.sin(k * (i + 1))) for i in range(40) for k in range(6)], "instrument_id string, business_date date, r double")
